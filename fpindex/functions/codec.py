@@ -6,7 +6,7 @@ generation and can be used in any select, filter or join of a table job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ from fpindex.constants import (
 _WELL_FORMED = "^[^:]+:[^:]+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _chunks(packed: Column) -> Column:
     return F.filter(F.split(F.coalesce(packed, F.lit("")), " "), lambda p: p != "")
 
@@ -40,17 +45,21 @@ def packed_pairs(packed: Column, algos: Sequence[str] | None = None) -> Column:
             F.substring_index(p, ":", -1).alias("hash"),
         ),
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["algo"]))
-    if algos is not None:
-        wanted = [a.lower() for a in algos]
-        keys = F.filter(keys, lambda k: k.isin(wanted))
-    return F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("algo"),
-            F.element_at(F.filter(pairs, lambda p: p["algo"] == k), -1)["hash"].alias("hash"),
-        ),
-    )
+    wanted = None if algos is None else [a.lower() for a in algos]
+
+    def last_of_each(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["algo"]))
+        if wanted is not None:
+            keys = F.filter(keys, lambda k: k.isin(wanted))
+        return F.transform(
+            keys,
+            lambda k: F.struct(
+                k.alias("algo"),
+                F.element_at(F.filter(pairs, lambda p: p["algo"] == k), -1)["hash"].alias("hash"),
+            ),
+        )
+
+    return let(pairs, last_of_each)
 
 
 def parse_checksums(packed: Column, algos: Sequence[str] | None = None) -> Column:
@@ -83,14 +92,17 @@ def pack_pairs(pairs: Column, max_bytes: int = PACKED_MAX_BYTES) -> Column:
 
 def canonical_pairs(hashes: Column) -> Column:
     """Supported entries of a ``map<algo,hash>`` in canonical order."""
-    return F.filter(
-        F.array(
-            *[
-                F.struct(F.lit(a).alias("algo"), F.try_element_at(hashes, F.lit(a)).alias("hash"))
-                for a in ALGOS
-            ]
+    return let(
+        hashes,
+        lambda h: F.filter(
+            F.array(
+                *[
+                    F.struct(F.lit(a).alias("algo"), F.try_element_at(h, F.lit(a)).alias("hash"))
+                    for a in ALGOS
+                ]
+            ),
+            lambda p: p["hash"].isNotNull(),
         ),
-        lambda p: p["hash"].isNotNull(),
     )
 
 
@@ -101,8 +113,11 @@ def pack_checksums(hashes: Column, max_bytes: int = PACKED_MAX_BYTES) -> Column:
 
 def merge_pairs(new: Column, existing: Column) -> Column:
     """New pairs first, then the existing pairs whose algorithm is not supplied."""
-    fresh = F.transform(new, lambda p: F.lower(p["algo"]))
-    return F.concat(new, F.filter(existing, lambda p: ~F.array_contains(fresh, p["algo"])))
+    supplied = F.transform(new, lambda p: F.lower(p["algo"]))
+    return F.concat(
+        new,
+        let(supplied, lambda s: F.filter(existing, lambda p: ~F.array_contains(s, p["algo"]))),
+    )
 
 
 def rewrite_packed(new: Column, existing_packed: Column, keep_additional: bool = False) -> Column:

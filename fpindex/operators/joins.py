@@ -90,3 +90,13 @@ def top_per_key(
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, key: str = "file_id") -> DataFrame:
+    """Rows of a large table that belong to the few ``ids(file_id)``.
+
+    For id lists whose size was checked: the list goes to the rows, so that the
+    table is reduced where it is read and only the rest is shuffled.
+    """
+    few = ids.select(F.col("file_id").alias(key))
+    return df.join(F.broadcast(few), key, "left_semi")

@@ -30,11 +30,13 @@ def wide_index(index: DataFrame) -> DataFrame:
 
 def known_hashes(indexed: Column, packed: Column) -> Column:
     """Index hashes, completed from the packed column where the index has none."""
-    have = F.coalesce(indexed, F.create_map().cast("map<string,string>"))
-    legacy = F.map_filter(
-        codec.parse_checksums(packed, ALGOS), lambda k, _: ~F.map_contains_key(have, k)
+    legacy = codec.parse_checksums(packed, ALGOS)
+    return codec.let(
+        F.coalesce(indexed, F.create_map().cast("map<string,string>")),
+        lambda have: F.map_concat(
+            have, F.map_filter(legacy, lambda k, _: ~F.map_contains_key(have, k))
+        ),
     )
-    return F.map_concat(have, legacy)
 
 
 def seed_pending(files: DataFrame, state: DataFrame) -> DataFrame:

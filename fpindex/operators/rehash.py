@@ -24,7 +24,7 @@ from fpindex.constants import (
 )
 from fpindex.functions import codec
 from fpindex.functions.digests import with_digests
-from fpindex.operators.joins import fits
+from fpindex.operators.joins import fits, keep_ids
 from fpindex.operators.pending import known_hashes, wide_index
 from fpindex.operators.rules import fresh
 from fpindex.sources.content import StoredFiles, digest_stored
@@ -89,14 +89,19 @@ def digest_plan(
     content: Content,
     algos: Sequence[str] = ALGOS,
     broadcast_rows: int = BROADCAST_PLAN_ROWS,
+    small: bool = False,
 ) -> DataFrame:
-    """``(file_id, digests)`` of the files in ``plan(file_id, needed)``."""
+    """``(file_id, digests)`` of the files in ``plan(file_id, needed)``.
+
+    ``small`` says that the plan is known to have no more than ``broadcast_rows``
+    rows; otherwise it is counted up to there.
+    """
     algos = [a for a in ALGOS if a in set(algos)]
     work = plan.select("file_id", "needed").filter(F.size("needed") > 0)
     if isinstance(content, StoredFiles):
         return digest_stored(work, content, algos).drop("read_error")
     readable = content.select("file_id", "content").filter(F.col("content").isNotNull())
-    if fits(work, broadcast_rows):
+    if small or fits(work, broadcast_rows):
         asked = readable.join(F.broadcast(work), "file_id")
         return with_digests(asked, "content", algos, needed="needed").select("file_id", "digests")
     return with_digests(readable, "content", algos).join(work, "file_id", "left_semi")
@@ -107,12 +112,13 @@ def with_results(
     content: Content,
     algos: Sequence[str] = ALGOS,
     broadcast_rows: int = BROADCAST_PLAN_ROWS,
+    small: bool = False,
 ) -> DataFrame:
     """Add ``results``: one ``struct<algo,success,hash,existed,error>`` per requested algorithm.
 
     ``rows`` has ``file_id, found, is_file, requested, needed, known``.
     """
-    digests = digest_plan(rows, content, algos, broadcast_rows)
+    digests = digest_plan(rows, content, algos, broadcast_rows, small)
     joined = rows.join(digests, "file_id", "left")
 
     def result(algo: Column) -> Column:
@@ -175,8 +181,16 @@ def rehash(
 
     ``algos`` names every supported algorithm any request may ask for.
     """
+    requests = requests.filter(F.col("file_id").isNotNull())
+    small = fits(requests.select("file_id"), broadcast_rows)
+    if small:
+        files = keep_ids(files, requests, "fileid")
+        index, state = keep_ids(index, requests), keep_ids(state, requests)
     rows = plan_requests(requests, files, index, state, skip_existing)
-    done = with_results(rows, content, algos, broadcast_rows)
+    return _result_rows(with_results(rows, content, algos, broadcast_rows, small))
+
+
+def _result_rows(done: DataFrame) -> DataFrame:
     return done.select("file_id", F.inline_outer("results")).filter(F.col("algo").isNotNull())
 
 
@@ -201,7 +215,9 @@ def recalc_existing(
         .otherwise(algo_array([DEFAULT_ALGO]))
         .alias("requested"),
     )
-    return rehash(requests, files, index, state, content, broadcast_rows=broadcast_rows)
+    rows = plan_requests(requests, files, index, state)
+    small = fits(files.select("fileid"), broadcast_rows)
+    return _result_rows(with_results(rows, content, ALGOS, broadcast_rows, small))
 
 
 def new_index_rows(results: DataFrame) -> DataFrame:
