@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fpindex import schemas
 from fpindex.functions.globs import glob_match
 from fpindex.functions.paths import relative_path
+from fpindex.session import cut_lineage
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -15,45 +22,76 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FILES).parquet(path)
 
 
-def walk_files(
-    spark: SparkSession,
-    root: str,
-    glob: str | None = None,
-    name_glob: str | None = None,
-    with_content: bool = False,
-    max_bytes: int | None = None,
+_LISTING = "uri string, is_file boolean, size long, mtime long"
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            filesystem, path = fs.FileSystem.from_uri(folder)
+            entries = filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
+            stem = folder.rstrip("/") + "/"
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([stem + e.base_name for e in entries], pa.string()),
+                    pa.array([e.type == fs.FileType.File for e in entries], pa.bool_()),
+                    pa.array([e.size or 0 for e in entries], pa.int64()),
+                    pa.array([int(e.mtime.timestamp()) if e.mtime else 0 for e in entries], pa.int64()),
+                ],
+                names=["uri", "is_file", "size", "mtime"],
+            )
+
+
+def walk_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """Recursive listing of a directory tree, files only, empty ones included.
+
+    Every level of the tree is one job in which the tasks list the folders of
+    that level. ``glob`` is matched against the path below ``root``.
+    """
+    root = canonical_uri(root)
+    folders = spark.createDataFrame([(root,)], "uri string")
+    levels = []
+    while True:
+        listed = cut_lineage(folders.repartition("uri").mapInArrow(_list_folders, _LISTING))
+        levels.append(listed.filter("is_file"))
+        folders = listed.filter("NOT is_file").select("uri")
+        if folders.isEmpty():
+            break
+    files = reduce(DataFrame.unionByName, levels).select(
+        F.xxhash64("uri").alias("fileid"),
+        "uri",
+        relative_path(F.col("uri"), F.lit(root)).alias("path"),
+        F.substring_index("uri", "/", -1).alias("name"),
+        "size",
+        "mtime",
+    )
+    return files if glob is None else files.filter(glob_match(F.col("path"), glob))
+
+
+def read_contents(
+    spark: SparkSession, root: str, max_bytes: int | None = None, name_glob: str | None = None
 ) -> DataFrame:
-    """Recursive listing of a directory tree, files only.
+    """Contents ``(file_id, uri, content)`` of the non-empty files of a tree, as rows.
 
-    ``glob`` is matched against the path below ``root``; ``name_glob`` is handed
-    to the listing itself. Contents are opened only if ``with_content`` is set,
-    and then only those of files up to ``max_bytes``.
+    The size limit is pushed into the listing, so larger files are not opened;
+    hash those with ``fpindex.sources.content.StoredFiles``. The underlying
+    source skips empty files, which a listing by :func:`walk_files` has.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if name_glob is not None:
         reader = reader.option("pathGlobFilter", name_glob)
-    listed = reader.load(root)
+    files = reader.load(root)
     if max_bytes is not None:
-        listed = listed.filter(F.col("length") <= max_bytes)
-    base = F.lit(listing_root(root))
-    plain = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/")
-    columns: list[Column] = [
-        F.xxhash64("path").alias("fileid"),
-        F.col("path").alias("uri"),
-        relative_path(plain, base).alias("path"),
-        F.substring_index("path", "/", -1).alias("name"),
-        F.col("length").alias("size"),
-        F.unix_timestamp("modificationTime").alias("mtime"),
-    ]
-    if with_content:
-        columns.append(F.col("content"))
-    files = listed.select(*columns)
-    return files if glob is None else files.filter(glob_match(F.col("path"), glob))
+        files = files.filter(F.col("length") <= max_bytes)
+    uri = F.regexp_replace("path", "^file:/+", "file:///")
+    return files.select(F.xxhash64(uri).alias("file_id"), uri.alias("uri"), "content")
 
 
-def listing_root(root: str) -> str:
-    """Directory path of ``root`` without its URI scheme."""
-    return "/" + root.split(":", 1)[-1].lstrip("/") if ":" in root else root
+def canonical_uri(root: str) -> str:
+    """URI of a folder; a plain path is a local one."""
+    if root.startswith("/"):
+        root = "file://" + root
+    return re.sub("^file:/+", "file:///", root).rstrip("/")
 
 
 def only_files(inventory: DataFrame) -> DataFrame:
