@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -75,17 +76,19 @@ def first_rule(rules: Sequence[Rule], path: Column, owner: Column | None = None)
     return F.coalesce(*chains) if chains else F.lit(None).cast("int")
 
 
-def rule_field(rules: Sequence[Rule], position: Column, field: str) -> Column:
-    """Field of the rule at a position; null for no rule."""
-    if not rules:
-        return F.lit(None).cast("array<string>" if field == "algos" else "string")
+_FIELDS = "array<struct<id:string,mode:string,algos:array<string>>>"
 
-    def value(rule: Rule) -> Column:
-        if field == "algos":
-            return F.array(*map(F.lit, rule.algos)).cast("array<string>")
-        return F.lit(getattr(rule, field))
 
-    return F.element_at(F.array(*map(value, rules)), position + 1)
+def rule_at(rules: Sequence[Rule], position: Column) -> Column:
+    """``struct<id,mode,algos>`` of the rule at a position; null for no rule.
+
+    The rules are one literal, which the optimizer parses once.
+    """
+    text = json.dumps([{"id": r.id, "mode": r.mode, "algos": r.algos} for r in rules])
+    # element_at alone is not null for a null position when no element is
+    return F.when(
+        position.isNotNull(), F.element_at(F.from_json(F.lit(text), _FIELDS), position + 1)
+    )
 
 
 def match_rules(
@@ -93,11 +96,17 @@ def match_rules(
 ) -> DataFrame:
     """Add ``rule_priority``, ``rule_id``, ``rule_mode`` and ``rule_algos``."""
     position = first_rule(rules, F.col(path), None if owner is None else F.col(owner))
+    rule = F.col("_rule")
     return (
         files.withColumn("rule_priority", position)
-        .withColumn("rule_id", rule_field(rules, F.col("rule_priority"), "id"))
-        .withColumn("rule_mode", rule_field(rules, F.col("rule_priority"), "mode"))
-        .withColumn("rule_algos", rule_field(rules, F.col("rule_priority"), "algos"))
+        .withColumn("_rule", rule_at(rules, F.col("rule_priority")))
+        .select(
+            *files.columns,
+            "rule_priority",
+            rule["id"].alias("rule_id"),
+            rule["mode"].alias("rule_mode"),
+            rule["algos"].alias("rule_algos"),
+        )
     )
 
 
