@@ -27,6 +27,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def names(values: Sequence[str]) -> Column:
+    """Array of plain names as one literal that the optimizer folds."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit(",".join(values)), ",")
+
+
 def _chunks(packed: Column) -> Column:
     return F.filter(F.split(F.coalesce(packed, F.lit("")), " "), lambda p: p != "")
 
@@ -50,7 +57,7 @@ def packed_pairs(packed: Column, algos: Sequence[str] | None = None) -> Column:
     def last_of_each(pairs: Column) -> Column:
         keys = F.array_distinct(F.transform(pairs, lambda p: p["algo"]))
         if wanted is not None:
-            keys = F.filter(keys, lambda k: k.isin(wanted))
+            keys = F.array_intersect(keys, names(wanted))
         return F.transform(
             keys,
             lambda k: F.struct(
@@ -95,11 +102,8 @@ def canonical_pairs(hashes: Column) -> Column:
     return let(
         hashes,
         lambda h: F.filter(
-            F.array(
-                *[
-                    F.struct(F.lit(a).alias("algo"), F.try_element_at(h, F.lit(a)).alias("hash"))
-                    for a in ALGOS
-                ]
+            F.transform(
+                names(ALGOS), lambda a: F.struct(a.alias("algo"), F.try_element_at(h, a).alias("hash"))
             ),
             lambda p: p["hash"].isNotNull(),
         ),
@@ -163,7 +167,7 @@ def normalize_algo_list(text: Column) -> Column:
     listed = F.array_distinct(
         F.filter(F.transform(F.split(text, ","), lambda a: F.lower(squeeze(a))), lambda a: a != "")
     )
-    return F.when(F.lower(squeeze(text)) == "all", F.array(*map(F.lit, ALGOS))).otherwise(listed)
+    return F.when(F.lower(squeeze(text)) == "all", names(ALGOS)).otherwise(listed)
 
 
 def normalize_algos(algos: Column) -> Column:
@@ -172,7 +176,7 @@ def normalize_algos(algos: Column) -> Column:
 
 
 def supported(algo: Column) -> Column:
-    return algo.isin(list(ALGOS))
+    return F.array_contains(names(ALGOS), algo)
 
 
 def supported_only(algos: Column) -> Column:
@@ -186,4 +190,4 @@ def missing_algos(packed: Column, requested: Sequence[str]) -> Column:
         F.filter(_chunks(packed), lambda p: p.contains(":")),
         lambda p: F.lower(F.substring_index(p, ":", 1)),
     )
-    return F.array_except(F.array(*map(F.lit, wanted)), present)
+    return F.array_except(names(wanted), present)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fpindex.constants import ALGOS
+from fpindex.functions.codec import names
 
 NATIVE_ALGOS = ("sha1", "md5", "sha256", "sha512")
 PYTHON_ALGOS = tuple(a for a in ALGOS if a not in NATIVE_ALGOS)
@@ -120,6 +121,8 @@ def with_digests(
     The content column itself is dropped, so nothing above carries it.
     """
     algos = checked_algos(algos)
+    if not algos:
+        return df.drop(content).withColumn(out, F.create_map().cast("map<string,string>"))
     in_python = [a for a in algos if a in PYTHON_ALGOS]
     body = F.col(content)
 
@@ -130,13 +133,11 @@ def with_digests(
     if in_python:
         sent = body.cast("binary")
         if needed is not None:
-            listed = F.array(*map(F.lit, in_python))
-            sent = F.when(F.arrays_overlap(F.col(needed), listed), sent)
+            sent = F.when(F.arrays_overlap(F.col(needed), names(in_python)), sent)
         df = df.withColumn("_arrow", _arrow_digests(in_python)(sent))
         columns |= {a: asked(a, F.col("_arrow")[_field(a)]) for a in in_python}
-    entries = [part for a in algos for part in (F.lit(a), columns[a])]
     kept = [c for c in df.columns if c not in (content, "_arrow")]
-    digests = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+    digests = F.map_from_arrays(names(algos), F.array(*[columns[a] for a in algos]))
     return df.select(*kept, digests.alias(out))
 
 

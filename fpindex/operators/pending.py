@@ -22,9 +22,9 @@ def wide_index(index: DataFrame) -> DataFrame:
     """
     columns = [F.max(F.when(F.col("algo") == a, F.col("hash"))).alias(a) for a in ALGOS]
     wide = index.groupBy("file_id").agg(*columns)
-    entries = [part for a in ALGOS for part in (F.lit(a), F.col(f"`{a}`"))]
+    hashes = F.map_from_arrays(codec.names(ALGOS), F.array(*[f"`{a}`" for a in ALGOS]))
     return wide.select(
-        "file_id", F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull()).alias("hashes")
+        "file_id", F.map_filter(hashes, lambda _, v: v.isNotNull()).alias("hashes")
     )
 
 

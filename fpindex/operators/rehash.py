@@ -35,7 +35,7 @@ NO_HASHES = "map<string,string>"
 
 
 def algo_array(algos: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, dict.fromkeys(a.lower() for a in algos))).cast("array<string>")
+    return codec.names(list(dict.fromkeys(a.lower() for a in algos)))
 
 
 def file_facts(files: DataFrame, index: DataFrame, state: DataFrame) -> DataFrame:
