@@ -686,6 +686,11 @@ def digest_all(fx):
     return digests.digests_long(fx.documents, "doc_id", "text", ALGOS)
 
 
+@query
+def digest_checksums(fx):
+    return digests.digests_long(fx.documents, "doc_id", "text", ["adler32", "crc32"])
+
+
 @query
 def digest_groups(fx):
     """Groups by each of the digests that SQL engines lack, named by a common one."""

@@ -269,6 +269,32 @@ _SETTINGS = """
         FROM documents WHERE lang NOT IN ('en', 'de', 'fr'))
 """
 
+# Checksums byte by byte: the CRC takes its table (polynomial 04c11db7, most
+# significant bit first) from eight shifts of every byte value.
+_CHECKSUMS = """
+    , bytes AS (
+        SELECT doc_id, octet_length(encode(text)) AS n,
+               list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                              lambda x: ('0x' || x)::BIGINT) AS v
+        FROM documents),
+    shifted AS (
+        SELECT i, list_reduce(list_prepend((i << 24)::BIGINT, list_transform(range(8), lambda k: -1::BIGINT)),
+                   lambda acc, _: CASE WHEN acc & 2147483648 <> 0
+                                       THEN xor((acc << 1) & 4294967295, 79764919)
+                                       ELSE (acc << 1) & 4294967295 END) AS v
+        FROM range(256) t(i)),
+    crc_table AS (SELECT list(v ORDER BY i) AS t FROM shifted),
+    crc AS (
+        SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, v),
+                   lambda acc, x: xor((acc << 8) & 4294967295, t[xor(acc >> 24, x) + 1])),
+                   4294967295) AS c
+        FROM bytes, crc_table),
+    adler AS (
+        SELECT doc_id, (1 + list_sum(v)) % 65521 AS lo,
+               (n + list_sum(list_transform(v, lambda x, i: x * (n - i + 1)))) % 65521 AS hi
+        FROM bytes)
+"""
+
 _BODIES: dict[str, str] = {
     "duplicate_groups": """
         SELECT algo, hash AS hash_value, count(*) AS file_count,
@@ -624,6 +650,14 @@ _BODIES: dict[str, str] = {
         LEFT JOIN n ON n.file_id = t.file_id""",
     "digest_sha256": "SELECT * FROM idx WHERE algo = 'sha256'",
     "digest_native": "SELECT * FROM idx",
+    "digest_checksums": _CHECKSUMS
+    + """
+        SELECT doc_id AS file_id, 'adler32' AS algo, printf('%08x', (hi * 65536 + lo)::BIGINT) AS hash
+        FROM adler
+        UNION ALL
+        SELECT doc_id, 'crc32',
+               printf('%02x%02x%02x%02x', c & 255, (c >> 8) & 255, (c >> 16) & 255, c >> 24)
+        FROM crc""",
     "digest_groups": """
         , g AS (SELECT count(*) AS file_count, min(doc_id) AS first_file_id, max(doc_id) AS last_file_id
                 FROM documents GROUP BY text HAVING count(*) >= 2)
