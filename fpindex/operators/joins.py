@@ -37,6 +37,36 @@ def spread_join(
     return left.join(right, [*keys, _SALT], how).drop(_SALT)
 
 
+def hot_join(
+    big: DataFrame,
+    other: DataFrame,
+    on: str | Sequence[str],
+    spread_by: str,
+    how: str = "inner",
+    hot_rows: int = HOT_GROUP_ROWS,
+) -> DataFrame:
+    """Join a possibly skewed side with a side of any size that is unique on ``on``.
+
+    The keys with more than ``hot_rows`` rows are counted first and only those
+    are repeated on the other side. There are at most ``big / hot_rows`` of them,
+    which bounds the broadcast list.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    parts = F.ceil(F.col("_n") / hot_rows).cast("int")
+    hot = (
+        big.groupBy(*keys)
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > hot_rows)
+        .select(*keys, parts.alias("_parts"))
+    )
+    share = F.coalesce("_parts", F.lit(1))
+    left = big.join(F.broadcast(hot), keys, "left").withColumn(_SALT, _bucket(spread_by, share))
+    right = other.join(F.broadcast(hot), keys, "left").withColumn(
+        _SALT, F.explode(F.sequence(F.lit(0), share - 1))
+    )
+    return left.drop("_parts").join(right.drop("_parts"), [*keys, _SALT], how).drop(_SALT)
+
+
 def join_groups(
     members: DataFrame,
     groups: DataFrame,

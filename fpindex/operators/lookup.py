@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.constants import ALGOS
+from fpindex.constants import ALGOS, BROADCAST_PLAN_ROWS
 from fpindex.functions import codec
 from fpindex.functions.terms import parse_hash_term
-from fpindex.operators.joins import spread_join
+from fpindex.operators.joins import fits, hot_join, spread_join
 from fpindex.operators.paths import resolve_paths, visible_files
 
 DEFAULT_LIMIT = 100
@@ -59,11 +59,14 @@ def find_by_hashes(
     storages: DataFrame,
     probes: DataFrame,
     user: str | None = None,
+    few: bool | None = None,
 ) -> DataFrame:
     """Batch form: ``probes(hash[, algo])``, a null algo standing for any.
 
     Probes are made unique first. The index side is dealt over several tasks per
-    hash, because one content (the empty file) may be much of a store.
+    hash, because one content (the empty file) may be much of a store: for few
+    probes by repeating them all, for many by repeating those of hot hashes only.
+    Unless ``few`` says which, the probes are counted.
     """
     if "algo" not in probes.columns:
         probes = probes.select("hash", F.lit(None).cast("string").alias("algo"))
@@ -76,8 +79,11 @@ def find_by_hashes(
             F.collect_set(F.when(codec.supported(F.lower("algo")), F.lower("algo"))).alias("algos"),
         )
     )
+    if few is None:
+        few = fits(probes, BROADCAST_PLAN_ROWS)
+    join = spread_join if few else hot_join
     hits = (
-        spread_join(index, wanted, "hash", spread_by="file_id")
+        join(index, wanted, "hash", spread_by="file_id")
         .filter(F.col("any_algo") | F.array_contains("algos", F.col("algo")))
         .select(F.col("file_id").alias("fileid"), "algo", "hash")
     )
@@ -100,9 +106,10 @@ def search_terms(
     terms: DataFrame,
     user: str | None = None,
     strict: bool = False,
+    few: bool | None = None,
 ) -> DataFrame:
     """Hits of a table of search terms; invalid terms have none."""
-    return find_by_hashes(index, files, storages, parse_terms(terms, strict), user)
+    return find_by_hashes(index, files, storages, parse_terms(terms, strict), user, few)
 
 
 def hashes_by_file(index: DataFrame, state: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fpindex.constants import ALGOS, MODE_NEW
 from fpindex.functions import codec
+from fpindex.operators.joins import hot_join
 from fpindex.sources.metadata import import_packed
 
 
@@ -99,12 +100,11 @@ def copy_checksums(files: DataFrame, copies: DataFrame) -> DataFrame:
     has a checksum counts; a source without one changes nothing. Sources are
     read as they are in ``files``.
     """
-    from fpindex.operators.joins import spread_join
-
     sources = files.filter(F.coalesce("checksum", F.lit("")) != "").select(
         F.col("fileid").alias("source_file_id"), "checksum"
     )
-    inherited = spread_join(copies, sources, "source_file_id", spread_by="file_id")
+    # one template may be the source of most copies
+    inherited = hot_join(copies, sources, "source_file_id", spread_by="file_id")
     last = inherited.groupBy("file_id").agg(
         F.max_by("checksum", F.struct("ts", "event_id")).alias("checksum")
     )

@@ -9,11 +9,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fpindex.constants import ALGOS
+from fpindex.constants import ALGOS, BROADCAST_PLAN_ROWS
 from fpindex.operators.drain import drain, drained_index, drained_state
+from fpindex.operators.joins import fits, keep_ids
 from fpindex.operators.pending import clear_index
 from fpindex.operators.rehash import Content
 from fpindex.operators.rules import Rule
+from fpindex.session import cut_lineage
 from fpindex.streaming.fold import apply_fold, fold_events, quarantine_events
 
 OUTCOME = ["file_id", "updated_at", "next_pending", "hashes", "mode", "success", "error"]
@@ -62,8 +64,22 @@ def process_batch(
     lazy: str = "clear",
     algos: Sequence[str] = ALGOS,
 ) -> DataFrame:
-    """Outcome rows of one batch of events: drained files and files only cleared."""
-    marked = apply_fold(state, index, fold_events(events, rules), upsert=True)
+    """Outcome rows of one batch of events: drained files and files only cleared.
+
+    Only the files of the batch and the backlog are worked on; the other rows of
+    the state are dropped where they are read.
+    """
+    folded = cut_lineage(fold_events(events, rules))
+    counted = index
+    if fits(folded, BROADCAST_PLAN_ROWS):
+        hit = F.broadcast(folded.select("file_id").withColumn("_hit", F.lit(True)))
+        state = (
+            state.join(hit, "file_id", "left")
+            .filter(F.col("_hit") | F.col("pending_mode").isNotNull())
+            .drop("_hit")
+        )
+        counted = keep_ids(index, folded)
+    marked = cut_lineage(apply_fold(state, counted, folded, upsert=True))
     cleared = marked.filter("cleared")
     drained = drain(
         marked, files, clear_index(index, cleared), rules, content, now, lazy, algos=algos

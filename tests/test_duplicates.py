@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fpindex.operators import duplicates as dups
 from fpindex.operators import lookup
-from fpindex.operators.joins import join_groups, spread_join, top_per_key
+from fpindex.operators.joins import hot_join, join_groups, spread_join, top_per_key
 from fpindex.operators.paths import files_by_path, resolve_paths, users_in_scope
 from fpindex.plans.api import FingerprintIndex
 from fpindex.sources.reports import duplicates_to_json, duplicates_to_lines
@@ -88,6 +88,9 @@ def test_pages(store):
     ]
     page = store.find_duplicates(limit=1, offset=1).collect()
     assert [(r["algo"], r["total_groups"], r["has_more"]) for r in page] == [("sha256", 2, False)]
+    groups = store.duplicate_groups()
+    page = dups.page(groups, 1, after=(4, "sha1", "abc123")).collect()
+    assert [(r["algo"], r["total_groups"], r["has_more"]) for r in page] == [("sha256", 2, False)]
 
 
 def test_lookup(store, rows):
@@ -120,6 +123,8 @@ def test_batch_lookup_and_search(spark, store, rows):
         [("sha256:" + "A" * 63 + "1",), ("not-a-hash",), ("md5:" + "a" * 63 + "2",)], "term string"
     )
     assert rows(store.search(terms).select("fileid")) == [(108,), (42,)]
+    many = lookup.find_by_hashes(store.index, store.files, store.storages, probes, few=False)
+    assert rows(many) == rows(store.find_by_hashes(probes))
 
 
 def test_listings(spark, store, rows):
@@ -159,6 +164,15 @@ def test_same_hash(store, rows):
     assert store.same_hash([300]).count() == 0
 
 
+def test_same_hash_for_few_and_many_ids(spark, rows):
+    index = skewed_index(spark, 400)
+    for condition in ("file_id % 7 = 0", "file_id = 3", "true"):
+        ids = index.filter(condition)
+        few = dups.same_hash(index, ids, few=True)
+        many = dups.same_hash(index, ids, few=False, hot_rows=20)
+        assert rows(few) == rows(many) and few.count()
+
+
 def test_reports(store):
     members = store.duplicates_with_paths(algo="sha1")
     (row,) = duplicates_to_json(members).collect()
@@ -225,6 +239,15 @@ def test_spread_join_types(spark, rows):
         assert rows(plain) == rows(spread)
 
 
+def test_hot_join_equals_a_plain_join(spark, rows):
+    big = skewed_index(spark, 600)
+    other = big.select("hash").distinct().filter("hash <> 'h7'").withColumn("v", F.length("hash"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain = big.join(other, "hash", how)
+        for hot_rows in (1, 30, 10**6):
+            assert rows(hot_join(big, other, "hash", "file_id", how, hot_rows).select(*plain.columns)) == rows(plain)
+
+
 def test_join_groups_equals_a_plain_join(spark, rows):
     index = skewed_index(spark, 600).withColumnRenamed("hash", "hash_value")
     groups = index.groupBy("algo", "hash_value").agg(F.count("*").alias("n")).filter("n > 1")
