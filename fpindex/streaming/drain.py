@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from fpindex.constants import ALGOS, BROADCAST_PLAN_ROWS
 from fpindex.operators.drain import drain, drained_index, drained_state
 from fpindex.operators.joins import fits, keep_ids
-from fpindex.operators.pending import clear_index
+from fpindex.operators.pending import clear_index, copy_checksums
 from fpindex.operators.rehash import Content
 from fpindex.operators.rules import Rule
 from fpindex.session import cut_lineage
-from fpindex.streaming.fold import apply_fold, fold_events, quarantine_events
+from fpindex.streaming.fold import apply_fold, fold_events, quarantine_events, usable
 
 OUTCOME = ["file_id", "updated_at", "next_pending", "hashes", "mode", "success", "error"]
 
@@ -53,6 +53,28 @@ def current_tables(spark: SparkSession, tables: Tables, out: str, before: int |
     return drained_state(tables.state, outcomes), drained_index(tables.index, outcomes)
 
 
+def with_copied_checksums(files: DataFrame, events: DataFrame, few: bool) -> DataFrame:
+    """Inventory in which copied files have the packed checksums of their sources.
+
+    ``few`` says that the events are about few enough files to be broadcast.
+    """
+    copies = usable(events).filter(
+        (F.col("kind") == "copied") & F.col("source_file_id").isNotNull()
+    ).select("source_file_id", "file_id", "ts", "event_id")
+    pool = files.select("fileid", "checksum")
+    if few:
+        ends = copies.select(F.explode(F.array("file_id", "source_file_id")).alias("file_id"))
+        ends = ends.distinct()
+        # a file may be copied over from any number of sources
+        if fits(ends, BROADCAST_PLAN_ROWS):
+            pool = keep_ids(pool, ends, "fileid")
+    inherited = copy_checksums(pool, copies).select(
+        F.col("file_id").alias("fileid"), F.col("checksum").alias("_inherited")
+    )
+    joined = files.join(F.broadcast(inherited) if few else inherited, "fileid", "left")
+    return joined.withColumn("checksum", F.coalesce("_inherited", "checksum")).drop("_inherited")
+
+
 def process_batch(
     events: DataFrame,
     state: DataFrame,
@@ -70,8 +92,10 @@ def process_batch(
     the state are dropped where they are read.
     """
     folded = cut_lineage(fold_events(events, rules))
+    few = fits(folded, BROADCAST_PLAN_ROWS)
+    files = with_copied_checksums(files, events, few)
     counted = index
-    if fits(folded, BROADCAST_PLAN_ROWS):
+    if few:
         hit = F.broadcast(folded.select("file_id").withColumn("_hit", F.lit(True)))
         state = (
             state.join(hit, "file_id", "left")

@@ -39,6 +39,18 @@ def event_source(spark: SparkSession, path: str, schema: T.StructType = FILE_EVE
     return spark.readStream.schema(schema).parquet(path)
 
 
+def parse_events(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Events of a message stream (such as Kafka) whose values are JSON objects.
+
+    A value that cannot be read becomes an event without file and time of kind
+    ``metadata``, which :func:`quarantine_events` picks up.
+    """
+    event = F.from_json(F.col(value).cast("string"), FILE_EVENTS.simpleString())
+    parsed = messages.select(event.alias("e")).select("e.*")
+    broken = F.col("kind").isNull() & F.col("file_id").isNull()
+    return parsed.withColumn("kind", F.when(broken, "metadata").otherwise(F.col("kind")))
+
+
 def usable(events: DataFrame) -> DataFrame:
     """Events of known kinds about a known file; other kinds are none of ours."""
     return events.filter(

@@ -125,7 +125,7 @@ def test_bad_events_are_set_aside(spark):
 
 def test_events_are_drained_to_hashes(spark, tmp_path):
     files = spark.createDataFrame(
-        [(i, 1, p, p, 1, 100, None, "u") for i, p in enumerate(("/force/a", "/lazy/b", "/auto/c", "/none/d"))],
+        [(i, 1, p, p, 1, 100, "MD5:zz" if i == 3 else None, "u") for i, p in enumerate(("/force/a", "/lazy/b", "/auto/c", "/none/d"))],
         "fileid long, storage long, path string, name string, size long, mtime long, checksum string, owner string",
     )
     tables = draining.Tables(
@@ -165,9 +165,18 @@ def test_events_are_drained_to_hashes(spark, tmp_path):
     write_events(spark, [
         (5, T0 + dt.timedelta(hours=1), "deleted", 0, None, "/force/a", "u"),
         (6, T0 + dt.timedelta(hours=1), "metadata", 3, None, "/none/d", "u"),
-        (7, T0 + dt.timedelta(hours=1), "copied", 1, 0, "/lazy/b", "u"),
+        (7, T0 + dt.timedelta(hours=1), "copied", 1, 3, "/lazy/b", "u"),
     ], folder, "part=1")
     state, index = run(2000)
     assert state == {0: (0, None), 1: (2000, None), 2: (1000, None), 3: (2000, None)}
     assert {a for i, a in index if i == 3} == set(("sha1", "md5", "adler32", "crc32", "sha256", "sha512", "sha3-256", "sha3-512"))
     assert not any(i == 0 for i, _ in index)
+    # the copy inherits a packed md5, so auto has something to recalculate
+    assert {k: h for k, h in index.items() if k[0] == 1} == {(1, "md5"): hex_digests([b"c1"], ["md5"])[0]}
+
+
+def test_json_messages(spark):
+    values = ['{"event_id":1,"ts":"2024-01-01T00:00:00Z","kind":"written","file_id":5,"path":"/force/x"}', "{broken", "[]"]
+    events = folding.parse_events(spark.createDataFrame([(v,) for v in values], "value string"))
+    assert [(r["kind"], r["file_id"]) for r in folding.usable(events).collect()] == [("written", 5)]
+    assert folding.quarantine_events(events).count() == 2
