@@ -29,7 +29,7 @@ from fpindex.constants import (
     MODE_MISSING,
     MODE_NEW,
 )
-from fpindex.operators.joins import fits, keep_ids
+from fpindex.operators.joins import keep_ids, plan_size
 from fpindex.operators.pending import known_hashes, pending, seed_pending, wide_index
 from fpindex.operators.rehash import (
     NO_HASHES,
@@ -129,10 +129,8 @@ def drain(
     queue = pending(state)
     if batch is not None:
         queue = queue.orderBy("file_id").limit(max(1, batch))
-    small = (batch is not None and batch <= broadcast_rows) or fits(
-        queue.select("file_id"), broadcast_rows
-    )
-    if small:
+    small, part = plan_size(queue, files, broadcast_rows)
+    if part:
         files, index = keep_ids(files, queue, "fileid"), keep_ids(index, queue)
     done = with_results(
         plan_drain(queue, files, index, rules, lazy), content, algos, broadcast_rows, small

@@ -122,6 +122,18 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def plan_size(ids: DataFrame, files: DataFrame, rows: int) -> tuple[bool, bool]:
+    """Whether a plan over ``ids(file_id)`` is small, and whether it is a small part.
+
+    A plan has at most a row per file, so the inventory is counted first, which
+    is cheap: if it is small there is nothing to reduce.
+    """
+    if fits(files.select("fileid"), rows):
+        return True, False
+    few = fits(ids.select("file_id"), rows)
+    return few, few
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, key: str = "file_id") -> DataFrame:
     """Rows of a large table that belong to the few ``ids(file_id)``.
 

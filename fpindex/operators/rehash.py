@@ -24,7 +24,7 @@ from fpindex.constants import (
 )
 from fpindex.functions import codec
 from fpindex.functions.digests import with_digests
-from fpindex.operators.joins import fits, keep_ids
+from fpindex.operators.joins import fits, keep_ids, plan_size
 from fpindex.operators.pending import known_hashes, wide_index
 from fpindex.operators.rules import fresh
 from fpindex.sources.content import StoredFiles, digest_stored
@@ -179,11 +179,12 @@ def rehash(
 ) -> DataFrame:
     """``(file_id, algo, success, hash, existed, error)`` per requested algorithm.
 
-    ``algos`` names every supported algorithm any request may ask for.
+    ``requests`` has one row per file; ``algos`` names every supported algorithm
+    that any of them may ask for.
     """
     requests = requests.filter(F.col("file_id").isNotNull())
-    small = fits(requests.select("file_id"), broadcast_rows)
-    if small:
+    small, part = plan_size(requests, files, broadcast_rows)
+    if part:
         files = keep_ids(files, requests, "fileid")
         index, state = keep_ids(index, requests), keep_ids(state, requests)
     rows = plan_requests(requests, files, index, state, skip_existing)
@@ -196,7 +197,7 @@ def _result_rows(done: DataFrame) -> DataFrame:
 
 def request_all(ids: DataFrame, algos: Sequence[str]) -> DataFrame:
     """The same algorithms for every file of ``ids(file_id)``."""
-    return ids.select("file_id", algo_array(algos).alias("requested"))
+    return ids.select("file_id").distinct().withColumn("requested", algo_array(algos))
 
 
 def recalc_existing(

@@ -152,6 +152,18 @@ def test_batch_and_shuffle_forms_agree(world):
     assert sorted(world.drain(batch=5)) == [0, 1, 2, 3, 4]
 
 
+def test_a_small_part_of_a_store_gives_the_same(world, rows):
+    for i in range(20):
+        world.file(i, content=b"%d" % i).hashes(i, md5="old")
+    world.state_row(3, 0, "missing").state_row(4, 0, "auto").state_row(5, 500)
+    assert world.drain(broadcast_rows=5) == world.drain() and len(world.drain()) == 2
+    ids = world.spark.createDataFrame([(3,), (3,), (77,)], "file_id long")
+    requests = rehash.request_all(ids, ["md5", "crc32"])
+    tables = (world.files, world.index, world.state, world.content)
+    part = rows(rehash.rehash(requests, *tables, broadcast_rows=5))
+    assert part == rows(rehash.rehash(requests, *tables)) and len(part) == 4
+
+
 def test_rebuild_seeds_first(world):
     world.file(1).file(2).state_row(1, 500)
     outcome = drains.rebuild(
