@@ -30,7 +30,7 @@ from fpindex.constants import (
     MODE_NEW,
 )
 from fpindex.operators.joins import keep_ids, plan_size
-from fpindex.operators.pending import known_hashes, pending, seed_pending, wide_index
+from fpindex.operators.pending import pending, seed_pending
 from fpindex.operators.rehash import (
     NO_HASHES,
     Content,
@@ -39,6 +39,8 @@ from fpindex.operators.rehash import (
     with_results,
 )
 from fpindex.operators.rules import Rule, fresh, match_rules
+from fpindex.operators.wide import known_hashes, wide_index
+from fpindex.session import cut_lineage
 
 _EMPTY = "array<string>"
 
@@ -195,6 +197,14 @@ def drained_index(index: DataFrame, outcome: DataFrame) -> DataFrame:
     )
 
 
+def settle(
+    state: DataFrame, index: DataFrame, outcome: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """State, index and outcome of a drain that is computed once for all of them."""
+    outcome = cut_lineage(outcome)
+    return drained_state(state, outcome), drained_index(index, outcome), outcome
+
+
 def drain_totals(outcome: DataFrame) -> DataFrame:
     """Files processed and failed per pending mode."""
     return outcome.groupBy("pending_mode").agg(

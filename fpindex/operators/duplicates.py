@@ -144,7 +144,10 @@ def visible_groups(
 
 
 def nest_members(
-    members: DataFrame, part_files: int = PART_FILES, file_columns: tuple[str, ...] = ()
+    members: DataFrame,
+    part_files: int = PART_FILES,
+    file_columns: tuple[str, ...] = (),
+    group_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """Members as ``files`` arrays, a group of ``n`` files in about ``n/part_files`` parts.
 
@@ -159,7 +162,7 @@ def nest_members(
     )
     return (
         members.withColumn("part", part.cast("long"))
-        .groupBy(*KEYS, "file_count", "part")
+        .groupBy(*KEYS, "file_count", *group_columns, "part")
         .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("files"))
     )
 
@@ -212,6 +215,23 @@ def same_hash(
     )
 
 
+def same_hash_with_paths(
+    index: DataFrame,
+    ids: DataFrame,
+    files: DataFrame,
+    storages: DataFrame,
+    user: str | None = None,
+    few: bool | None = None,
+) -> DataFrame:
+    """As :func:`same_hash`, with paths and only the files a user sees."""
+    paths = resolve_paths(files, storages, user).select(
+        F.col("fileid").alias("file_id"), "path", "name"
+    )
+    return same_hash(index, ids, few).join(paths, "file_id").select(
+        *KEYS, F.col("file_id").alias("fileid"), "path", "name"
+    )
+
+
 def same_hash_of(index: DataFrame, file_id: int) -> DataFrame:
     """Other files with any of one file's hashes: ``(algo, hash_value, file_id)``."""
     mine = (

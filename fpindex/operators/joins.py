@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fpindex.constants import HOT_GROUP_ROWS, SPREAD
@@ -103,8 +103,6 @@ def top_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int, spread_by: str
 ) -> DataFrame:
     """First ``cap`` rows of each key in two steps, so no task sees a whole hot key."""
-    from pyspark.sql import Window
-
     rank = F.row_number()
     local = Window.partitionBy(*keys, _SALT).orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)

@@ -25,7 +25,7 @@ from fpindex.constants import (
 from fpindex.functions import codec
 from fpindex.functions.digests import with_digests
 from fpindex.operators.joins import fits, keep_ids, plan_size
-from fpindex.operators.pending import known_hashes, wide_index
+from fpindex.operators.wide import known_hashes, wide_index
 from fpindex.operators.rules import fresh
 from fpindex.sources.content import StoredFiles, digest_stored
 

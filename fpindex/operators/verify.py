@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.constants import ALGOS, BROADCAST_PLAN_ROWS, ERR_NO_CONTENT
+from fpindex.constants import ALGOS, BROADCAST_PLAN_ROWS, ERR_NO_CONTENT, HOT_GROUP_ROWS
 from fpindex.operators.duplicates import KEYS
+from fpindex.operators.joins import join_groups
 from fpindex.operators.rehash import Content, digest_plan
+from fpindex.session import cut_lineage
 
 
 def verify_members(
@@ -20,17 +22,18 @@ def verify_members(
 ) -> DataFrame:
     """Member rows with ``verified_hash``, ``verified`` and ``verify_error``.
 
-    ``members`` has ``algo, hash_value, file_id``. Hashes are always recomputed
+    ``members`` has ``algo, hash_value`` and ``file_id`` or ``fileid``. Hashes are always recomputed
     and nothing is stored; a file that cannot be read is a mismatch.
     """
-    plan = members.groupBy("file_id").agg(
+    key = "fileid" if "fileid" in members.columns else "file_id"
+    plan = members.groupBy(F.col(key).alias("file_id")).agg(
         # at most one entry per algorithm
         F.collect_set("algo").alias("needed")
     )
     digests = digest_plan(plan, content, algos, broadcast_rows)
     made = F.try_element_at("digests", F.col("algo"))
     return (
-        members.join(digests, "file_id", "left")
+        members.join(digests.withColumnRenamed("file_id", key), key, "left")
         .withColumn("verified_hash", made)
         .drop("digests")
         .withColumn("verified", F.coalesce(F.col("verified_hash") == F.col("hash_value"), F.lit(False)))
@@ -48,6 +51,19 @@ def verify_groups(verified: DataFrame) -> DataFrame:
     )
 
 
+def with_group_counts(verified: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Verified member rows together with the counts of their group.
+
+    The members are computed once, so that contents are not read twice.
+    """
+    key = "fileid" if "fileid" in verified.columns else "file_id"
+    verified = cut_lineage(verified)
+    groups = verify_groups(verified)
+    return join_groups(
+        verified.drop("file_count"), groups, KEYS, "file_count", key, hot_rows
+    )
+
+
 def verified_only(groups: DataFrame) -> DataFrame:
     """Groups all of whose members were verified; unchecked groups are dropped."""
     return groups.filter(F.coalesce("mismatch_count", F.lit(1)) == 0)

@@ -76,8 +76,13 @@ class FingerprintIndex:
             found, "fileid"
         )
 
-    def same_hash(self, ids: Sequence[int] | DataFrame) -> DataFrame:
-        return dups.same_hash(self.index, self._ids(ids))
+    def same_hash(self, ids: Sequence[int] | DataFrame, user: str | None = None) -> DataFrame:
+        """Other files with a hash of the given ones; with ``user`` those that user sees."""
+        if user is None:
+            return dups.same_hash(self.index, self._ids(ids))
+        return dups.same_hash_with_paths(
+            self.index, self._ids(ids), self.files, self.storages, user
+        )
 
     # -- duplicates ----------------------------------------------------------
 
@@ -114,6 +119,19 @@ class FingerprintIndex:
         algos = ALGOS if algo is None else (algo.lower(),)
         return verify.verify_groups(verify.verify_members(members, self.content, algos))
 
+    def verified_report(
+        self,
+        algo: str | None = None,
+        min_count: int = 2,
+        user: str | None = None,
+        only_verified: bool = False,
+    ) -> DataFrame:
+        """JSON objects of the duplicate groups with paths, checked against the contents."""
+        members = self.duplicates_with_paths(algo, min_count, user)
+        algos = ALGOS if algo is None else (algo.lower(),)
+        checked = verify.with_group_counts(verify.verify_members(members, self.content, algos))
+        return duplicates_to_json(verify.verified_only(checked) if only_verified else checked)
+
     # -- hashing -------------------------------------------------------------
 
     def recalc(
@@ -167,6 +185,10 @@ class FingerprintIndex:
             self.state, self.owned_files, self.index, self.rules, self.content, now, lazy, batch
         )
 
+    def drained_tables(self, now: int, lazy: str = "clear", batch: int | None = None):
+        """State, index and outcome after a drain, computed once."""
+        return drains.settle(self.state, self.index, self.drain(now, lazy, batch))
+
     def rebuild(self, now: int, lazy: str = "clear", batch: int | None = None) -> DataFrame:
         return drains.rebuild(
             self.owned_files, self.state, self.index, self.rules, self.content, now, lazy, batch

@@ -111,6 +111,13 @@ def same_hash(fx):
     return dups.same_hash(fx.index("sha1", "sha256"), fx.state)
 
 
+@query
+def same_hash_user(fx):
+    return dups.same_hash_with_paths(
+        fx.index("sha1", "sha256"), fx.state, fx.files, fx.storages, user="src8", few=False
+    )
+
+
 @query
 def same_hash_counts(fx):
     return dups.same_hash_counts(fx.index("sha1", "md5"))

@@ -349,6 +349,12 @@ _BODIES: dict[str, str] = {
         FROM i JOIN probes p ON p.algo = i.algo AND p.hash = i.hash
         WHERE EXISTS (SELECT 1 FROM i o JOIN state s ON s.file_id = o.file_id
                       WHERE o.algo = i.algo AND o.hash = i.hash AND o.file_id <> i.file_id)""",
+    "same_hash_user": """
+        , i AS (SELECT * FROM idx WHERE algo IN ('sha1', 'sha256'))
+        SELECT i.algo, i.hash AS hash_value, f.fileid, f.path, f.name
+        FROM i JOIN owned f ON f.fileid = i.file_id AND f.storage_id = 'home::src8'
+        WHERE EXISTS (SELECT 1 FROM i o JOIN state s ON s.file_id = o.file_id
+                      WHERE o.algo = i.algo AND o.hash = i.hash AND o.file_id <> i.file_id)""",
     "same_hash_counts": """
         SELECT i.file_id, i.algo, i.hash AS hash_value, g.n - 1 AS other_files
         FROM idx i JOIN (SELECT algo, hash, count(*) AS n FROM idx GROUP BY algo, hash) g

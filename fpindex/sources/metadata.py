@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fpindex.constants import INDEX_VALUE_LENGTH, KEY_PREFIX, KEY_UPDATED_AT, PENDING_PREFIX
 from fpindex.functions import codec
+from fpindex.operators.wide import wide_index
 
 
 def import_packed(files: DataFrame, id_col: str = "fileid", packed_col: str = "checksum") -> DataFrame:
@@ -126,8 +127,6 @@ def lookup_truncated(
 
 def export_packed(index: DataFrame) -> DataFrame:
     """Packed string of every file in the index."""
-    from fpindex.operators.pending import wide_index
-
     return wide_index(index).select(
         "file_id", codec.pack_checksums(F.col("hashes")).alias("checksum")
     )
@@ -155,8 +154,6 @@ def export_eav(index: DataFrame, state: DataFrame) -> DataFrame:
 
 def export_json(index: DataFrame, state: DataFrame) -> DataFrame:
     """One JSON document per tracked file."""
-    from fpindex.operators.pending import wide_index
-
     def entry(value: Column, kind: str) -> Column:
         return F.struct(
             value.cast("string").alias("value"),

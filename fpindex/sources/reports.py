@@ -16,8 +16,9 @@ def duplicates_to_json(members: DataFrame, part_files: int = PART_FILES) -> Data
     """
     columns = [c for c in ("fileid", "path", "name", "owner") if c in members.columns]
     extra = [c for c in ("verified", "verified_hash", "verify_error") if c in members.columns]
-    nested = nest_members(members, part_files, (*columns, *extra))
-    fields = [F.col(c) for c in (*KEYS, "file_count")]
+    counts = tuple(c for c in ("match_count", "mismatch_count") if c in members.columns)
+    nested = nest_members(members, part_files, (*columns, *extra), counts)
+    fields = [F.col(c) for c in (*KEYS, "file_count", *counts)]
     several = F.when(F.col("file_count") > part_files, F.col("part")).alias("part")
     return nested.select(
         *KEYS, "part", F.to_json(F.struct(*fields, several, F.col("files"))).alias("json")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fpindex import schemas
 from fpindex.functions import codec
-from fpindex.operators.pending import wide_index
+from fpindex.operators.wide import wide_index
 
 
 def write_index(index: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -30,19 +31,24 @@ def write_index(index: DataFrame, path: str, partitions: int | None = None) -> N
     )
 
 
-def write_index_table(index: DataFrame, table: str, buckets: int) -> None:
-    """Store the index as a table bucketed by file, for joins without a shuffle."""
+def write_index_table(
+    index: DataFrame, table: str, buckets: int, by: str = "file_id"
+) -> None:
+    """Store the index as a bucketed table.
+
+    By ``file_id`` the pipelines join it without a shuffle; by ``hash`` duplicate
+    groups are counted without one.
+    """
+    others = [c for c in ("file_id", "hash", "algo") if c != by]
     (
         index.write.mode("overwrite")
-        .bucketBy(buckets, "file_id")
-        .sortBy("file_id", "algo")
+        .bucketBy(buckets, by)
+        .sortBy(by, *others)
         .saveAsTable(table)
     )
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    from fpindex import schemas
-
     return spark.read.schema(schemas.HASH_INDEX).parquet(path)
 
 

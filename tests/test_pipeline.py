@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,9 @@ def test_tables_after_a_drain(world, rows):
     outcome = drains.drain(world.state, world.files, world.index, [], world.content, NOW)
     assert rows(drains.drained_state(world.state, outcome)) == [(1, NOW, None), (2, 60, None), (3, 0, None)]
     assert rows(drains.drained_index(world.index, outcome)) == [(1, "sha1", sha1(b"x")), (2, "sha1", "other")]
+    state, index, settled = drains.settle(world.state, world.index, outcome)
+    assert rows(state) == rows(drains.drained_state(world.state, outcome))
+    assert rows(index) == rows(drains.drained_index(world.index, outcome)) and settled.count() == 2
     assert rows(drains.drain_totals(outcome)) == [("auto", 1, 0), ("lazy", 1, 0)]
 
 
@@ -261,6 +265,20 @@ def test_verification(world, rows):
     groups = verify.verify_groups(checked)
     assert rows(groups) == [("sha1", sha1(b"same"), 4, 2, 2)]
     assert verify.verified_only(groups).count() == verify.matching_only(groups).count() == 0
+    counted = verify.with_group_counts(checked, hot_rows=2)
+    assert rows(counted.select("file_id", "file_count", "match_count", "mismatch_count")) == [
+        (i, 4, 2, 2) for i in (1, 2, 3, 4)
+    ]
+    storages = world.spark.createDataFrame([(1, "home::u")], "numeric_id long, id string")
+    store = FingerprintIndex(world.files, storages, world.index, world.state, world.content)
+    report = json.loads(store.verified_report("sha1").first()["json"])
+    assert (report["match_count"], report["mismatch_count"]) == (2, 2)
+    assert [f["verified"] for f in report["files"]] == [True, True, False, False]
+    assert store.verified_report("sha1", only_verified=True).count() == 0
+    assert rows(store.same_hash([3], user="u").select("algo", "fileid")) == [
+        ("md5", 4), ("sha1", 1), ("sha1", 2), ("sha1", 4),
+    ]
+    assert store.same_hash([3], user="v").count() == 0
     unchecked = groups.withColumn("mismatch_count", F.lit(None).cast("long"))
     assert (verify.verified_only(unchecked).count(), verify.matching_only(unchecked).count()) == (0, 1)
 

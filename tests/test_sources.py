@@ -3,7 +3,9 @@ import json
 from pyspark.sql import functions as F
 
 from fpindex.functions import codec
+from fpindex.operators.duplicates import duplicate_groups
 from fpindex.operators.lookup import filter_hash
+from fpindex.operators.wide import wide_index
 from fpindex.session import ensure_checkpoint_dir
 from fpindex.sources import metadata, store
 
@@ -113,14 +115,16 @@ def test_bucketed_index_needs_no_shuffle(spark):
     )
     spark.sql("DROP TABLE IF EXISTS bucketed_index")
     store.write_index_table(index, "bucketed_index", buckets=4)
+    store.write_index_table(index, "index_by_hash", buckets=4, by="hash")
     try:
-        from fpindex.operators.pending import wide_index
-
+        groups = duplicate_groups(spark.table("index_by_hash"))
+        assert "Exchange" not in groups._jdf.queryExecution().executedPlan().toString()
         wide = wide_index(spark.table("bucketed_index"))
         assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
         assert wide.count() == 100
     finally:
         spark.sql("DROP TABLE bucketed_index")
+        spark.sql("DROP TABLE index_by_hash")
 
 
 def test_checkpoints_go_where_the_session_says(spark):
@@ -135,3 +139,12 @@ def test_key_names(spark):
         codec.hash_key(F.lit("SHA1")).alias("k"), codec.algo_from_key(F.lit("file-checksum-sha1")).alias("a")
     ).first()
     assert tuple(row) == ("file-checksum-sha1", "sha1")
+
+
+def test_lookup_benchmark(spark):
+    from fpindex.plans.benchmark import compare_lookup
+
+    files = spark.createDataFrame([(1, "a", "SHA1:x"), (2, "b", None)], "fileid long, path string, checksum string")
+    index = spark.createDataFrame([(1, "sha1", "x")], INDEX)
+    times = compare_lookup(index, files, "absent", iterations=2)
+    assert times["filecache_rows"] == 2 and times["tracked_rows"] == 1 and times["speed_up"] > 0
