@@ -12,6 +12,7 @@ from fpindex.functions import codec
 from fpindex.functions.globs import glob_match
 from fpindex.functions.paths import relative_path
 from fpindex.operators.rehash import Content, algo_array, rehash
+from fpindex.sources.inventory import only_files
 
 USER_ROOT = "files"
 
@@ -32,7 +33,7 @@ def missing_hashes(files: DataFrame, algos: Sequence[str]) -> DataFrame:
 
 def glob_search(files: DataFrame, glob: str, limit: int = 0) -> DataFrame:
     """Files whose path matches; with a positive limit the first by id."""
-    hits = files.filter(glob_match(F.col("path"), glob))
+    hits = only_files(files).filter(glob_match(F.col("path"), glob))
     return hits.orderBy("fileid").limit(limit) if limit > 0 else hits
 
 
@@ -46,7 +47,7 @@ def walk_stats(
     """Files seen, skipped by the glob, already hashed and to be hashed, in one pass."""
     matched = _matches(F.col("path"), glob, base)
     lacking = F.size(codec.missing_algos(F.col("checksum"), algos)) > 0
-    return files.groupBy(*by).agg(
+    return only_files(files).groupBy(*by).agg(
         F.count("*").alias("files"),
         F.count_if(~matched).alias("glob_skipped"),
         F.count_if(matched & ~lacking).alias("already_hashed"),
@@ -55,6 +56,7 @@ def walk_stats(
 
 
 def _in_scope(files: DataFrame, scope: str) -> DataFrame:
+    files = only_files(files)
     return files if scope == SCOPE_ALL else files.filter(F.col("owner") == scope)
 
 

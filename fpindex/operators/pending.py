@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from fpindex.constants import MODE_NEW
 from fpindex.operators.joins import hot_join
+from fpindex.sources.inventory import only_files
 from fpindex.sources.metadata import import_packed
 
 
 def seed_pending(files: DataFrame, state: DataFrame) -> DataFrame:
-    """New state rows, marked ``new``, for files that have none."""
+    """New state rows, marked ``new``, for files that have none; folders get none."""
     return (
-        files.select(F.col("fileid").alias("file_id"))
+        only_files(files)
+        .select(F.col("fileid").alias("file_id"))
         .join(state.select("file_id"), "file_id", "left_anti")
         .select("file_id", F.lit(0).cast("long").alias("updated_at"), F.lit(MODE_NEW).alias("pending_mode"))
     )

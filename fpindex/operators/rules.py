@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fpindex.constants import ALGOS, MODE_AUTO, SCOPE_ALL
 from fpindex.functions.globs import glob_match
 from fpindex.operators.joins import top_per_key
+from fpindex.sources.inventory import only_files
 
 # Rules per CASE expression; longer lists are evaluated as a chain of them.
 _CHUNK = 64
@@ -117,7 +118,7 @@ def fresh(updated_at: Column, mtime: Column) -> Column:
 
 def stale_files(files: DataFrame, state: DataFrame) -> DataFrame:
     """``(file_id, mtime, updated_at)`` of the files whose hashes are not fresh."""
-    joined = files.select(F.col("fileid").alias("file_id"), "mtime").join(
+    joined = only_files(files).select(F.col("fileid").alias("file_id"), "mtime").join(
         state.select("file_id", "updated_at"), "file_id", "left"
     )
     return joined.filter(~fresh(F.col("updated_at"), F.col("mtime")))
@@ -129,7 +130,8 @@ def evaluate_rules(files: DataFrame, rules: Sequence[Rule], state: DataFrame) ->
     ``files`` has ``fileid, path, owner, mtime``. The first rule owns a file; the
     stale ones are to be marked with its mode.
     """
-    owned = match_rules(files.select("fileid", "path", "owner", "mtime"), rules).filter(
+    listed = only_files(files).select("fileid", "path", "owner", "mtime")
+    owned = match_rules(listed, rules).filter(
         F.col("rule_priority").isNotNull()
     )
     joined = owned.withColumnRenamed("fileid", "file_id").join(

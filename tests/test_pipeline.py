@@ -180,6 +180,7 @@ def test_queue_tables(world, rows):
     spark = world.spark
     world.file(1).file(2).file(3)
     world.state_row(1, 5, "auto").state_row(2, 6)
+    world.file(4, is_file=False)
     assert rows(pending.seed_pending(world.files, world.state)) == [(3, 0, "new")]
     marks = spark.createDataFrame([(2, "force"), (3, "force")], "file_id long, mode string")
     assert rows(pending.mark_pending(world.state, marks)) == [(1, 5, "auto"), (2, 6, "force")]
@@ -191,7 +192,7 @@ def test_queue_tables(world, rows):
     assert rows(pending.clear_index(world.index, ids)) == [(2, "sha1", "b")]
     row = status.status(world.files, world.index, world.state).first().asDict(recursive=True)
     assert row["pending_by_mode"]["auto"] == row["pending_total"] == 1
-    assert (row["filecache_rows"], row["hash_rows"], row["metadata_rows"]) == (3, 2, 2)
+    assert (row["filecache_rows"], row["hash_rows"], row["metadata_rows"]) == (4, 2, 2)
 
 
 def test_copied_checksums(world, rows):
