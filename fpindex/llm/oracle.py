@@ -11,7 +11,7 @@ def words(text: str) -> str:
     """List of the lower-cased words of a text."""
     return (
         f"list_filter(regexp_split_to_array(translate({text}, '{_UPPER}', '{_UPPER.lower()}'),"
-        " '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+        " '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     )
 
 
@@ -23,7 +23,7 @@ sets AS MATERIALIZED (
   SELECT DISTINCT doc_id, unnest(
     CASE WHEN len(w) = 0 THEN []
          WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - {n} + 2), i -> array_to_string(w[i:i + {n} - 1], ' ')) END) AS s
+         ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' ')) END) AS s
   FROM worded)"""
 
 
