@@ -21,8 +21,8 @@ from fpindex.llm.texts import BATCH_BYTES, mixed, segment_ids, small_batches, wo
 
 #: 32 bands of 4 values: a pair at similarity 0.8 shares none of them once in 2 * 10^7.
 BANDS, BAND_ROWS = 32, 4
-#: Rows of a bucket that are compared at once in the second round.
-TILE = 1024
+#: Rows, and shingles in all, of a bucket that form a tile of the second round.
+TILE, TILE_SHINGLES = 1024, 1 << 20
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -173,11 +173,11 @@ def _common():
 def _agreeing(percent: int) -> int:
     """Values of two signatures that must agree before sets are fetched.
 
-    Seven standard deviations of the (larger) variance of independent values
-    below the threshold: a linked pair fails once in 10^11.
+    Six standard deviations of the (larger) variance of independent values
+    below the threshold: a linked pair fails once in 10^9.
     """
     size, p = BANDS * BAND_ROWS, percent / 100
-    return max(0, int(size * p - 7 * (size * p * (1 - p)) ** 0.5))
+    return max(0, int(size * p - 6 * (size * p * (1 - p)) ** 0.5))
 
 
 def _likely(percent: int):
@@ -195,53 +195,68 @@ def _likely(percent: int):
 
 
 def _tiles(percent: int):
-    """Likely pairs of different components in sorted runs of one tile pair."""
+    """Links between different components within runs of one tile pair.
+
+    Pairs that sizes or signatures exclude are skipped, and so are pairs that
+    links found before already connect; all others are compared on full sets.
+    """
     least = _agreeing(percent)
     size = BANDS * BAND_ROWS
 
-    def pairs_of(table: pa.Table):
+    def links_of(table: pa.Table) -> Iterator[tuple[bytes, bytes]]:
         keys = table.column("set_key").to_pylist()
-        roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        part = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
         side = np.asarray(table.column("side"))
-        sizes = np.asarray(table.column("n_shingles"))
-        joined = b"".join(table.column("signature").to_pylist())
-        values = np.frombuffer(joined, np.uint8).reshape(len(keys), size)
-        left = np.flatnonzero(side != 2)
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
+        sizes = np.array([len(m) for m in sets])
+        values = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8)
+        values = values.reshape(len(keys), size)
         right = np.flatnonzero(side != 1)
-        for i in left:
+        for i in np.flatnonzero(side != 2):
             others = right[right > i] if side[i] == 0 else right
-            others = others[roots[others] != roots[i]]
+            others = others[part[others] != part[i]]
             n, m = sizes[i], sizes[others]
             others = others[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
-            for k in others[(values[others] == values[i]).sum(1) >= least]:
-                yield min(keys[i], keys[k]), max(keys[i], keys[k])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            waiting.append(batch)
-            table = pa.Table.from_batches(waiting)
-            tile = np.asarray(table.column("tile"))
-            last = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
-            if last:
-                yield from emit(table.slice(0, last))
-                waiting = table.slice(last).to_batches()
-        if waiting:
-            yield from emit(pa.Table.from_batches(waiting))
+            agree = (values[others] == values[i]).sum(1)
+            likely = np.flatnonzero(agree >= least)
+            for k in others[likely[np.argsort(-agree[likely], kind="stable")]]:
+                if part[k] != part[i]:
+                    common = np.intersect1d(sets[i], sets[k], assume_unique=True).size
+                    if 100 * common >= percent * (sizes[i] + sizes[k] - common):
+                        part[part == part[k]] = part[i]
+                        yield min(keys[i], keys[k]), max(keys[i], keys[k])
 
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         tile = np.asarray(table.column("tile"))
-        edges = np.flatnonzero(np.diff(tile)) + 1
+        cuts = np.flatnonzero(np.diff(tile)) + 1
         found: set = set()
-        for a, b in zip([0, *edges], [*edges, len(tile)]):
+        for a, b in zip([0, *cuts], [*cuts, len(tile)]):
             if b - a > 1:
-                found.update(pairs_of(table.slice(a, b - a)))
+                found.update(links_of(table.slice(a, b - a)))
         if found:
             u, v = zip(*found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"]
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begun = waiting and waiting[-1].column("tile")[-1] != batch.column("tile")[0]
+            if begun:
+                yield from emit(pa.Table.from_batches(waiting))
+                waiting = []
+            tile = np.asarray(batch.column("tile"))
+            last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if (tile != tile[-1]).any() else 0
+            if last:
+                yield from emit(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield from emit(pa.Table.from_batches(waiting))
+
     return run
 
 
@@ -300,16 +315,18 @@ class _Run:
             .select("u", "v")
         )
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets reach the threshold."""
-        wanted = pairs.select(F.col("u").alias("set_key")).union(pairs.select("v")).distinct()
-        ids = self.classes.join(wanted, "set_key", "left_semi").select("id").distinct()
-        sets = (
+    def sets(self, keys: DataFrame) -> DataFrame:
+        """Full sets of the classes in ``keys(set_key)``, from one text of each."""
+        ids = self.classes.join(keys, "set_key", "left_semi").select("id").distinct()
+        return (
             self.texts.join(ids, "id", "left_semi")
             .mapInArrow(_set_reader(self.words), "set_key binary, members binary")
-            .filter("set_key IS NOT NULL")
+            .join(keys, "set_key", "left_semi")
+            .dropDuplicates(["set_key"])
         )
-        sets = self.scratch.store(sets.dropDuplicates(["set_key"]))
+
+    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs whose full sets reach the threshold."""
         a = sets.toDF("u", "m_u")
         b = sets.toDF("v", "m_v")
         both = pairs.join(a, "u").join(b, "v")
@@ -320,8 +337,8 @@ class _Run:
             .select("u", "v")
         )
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """All links found, and the components that they form.
+    def components(self) -> DataFrame:
+        """``(node, root)`` of all classes that are linked with others.
 
         Round one compares each member of a bucket with the bucket's first
         class. Round two compares, within a bucket, members that are still in
@@ -333,44 +350,48 @@ class _Run:
             .select(F.col("leader").alias("u"), F.col("set_key").alias("v"))
             .distinct()
         )
-        first = self.scratch.store(self.linked(self.scratch.store(self.likely(star))))
+        likely = self.scratch.store(self.likely(star))
+        wanted = likely.select(F.col("u").alias("set_key")).union(likely.select("v"))
+        wanted = wanted.union(buckets.filter("n > 2").select("set_key")).distinct()
+        sets = self.scratch.store(self.sets(wanted))
+        first = self.scratch.store(self.linked(likely, sets))
         roots = self.scratch.store(components(first, self.scratch))
+        about = self.classes.select("set_key", "n_shingles", "signature")
         rooted = (
             buckets.filter("n > 2")
             .join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
             .withColumn("root", F.coalesce("root", "set_key"))
+            .join(about, "set_key")
         )
+        n = F.greatest(
+            F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)
+        ).cast("int")
         split = (
             rooted.groupBy("bucket")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+            .agg(F.min("root").alias("low"), F.max("root").alias("high"), n.alias("n_tiles"))
             .filter("low <> high")
-            .select("bucket")
-        )
-        open_ = rooted.join(split, "bucket", "left_semi").join(
-            self.classes.select("set_key", "n_shingles", "signature"), "set_key"
+            .select("bucket", "n_tiles")
         )
-        n = F.ceil(F.col("n") / TILE).cast("int")
-        own = F.pmod(F.xxhash64("set_key", "bucket"), n).cast("int")
-        other = F.explode(F.sequence(F.lit(0), n - 1))
+        other = F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))
         tiled = (
-            open_.withColumn("own", own)
+            rooted.join(split, "bucket")
+            .withColumn("own", F.pmod(F.xxhash64("set_key", "bucket"), "n_tiles").cast("int"))
             .withColumn("other", other)
             .withColumn(
                 "side", F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END")
             )
             .withColumn("tile", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-            .select("tile", "side", "set_key", "root", "n_shingles", "signature")
+            .join(sets, "set_key")
+            .select("tile", "side", "set_key", "root", "signature", "members")
         )
-        pairs = (
+        second = self.scratch.store(
             tiled.repartition("tile")
             .sortWithinPartitions("tile")
             .mapInArrow(_tiles(self.percent), "u binary, v binary")
             .distinct()
-            .join(star, ["u", "v"], "left_anti")
         )
-        second = self.scratch.store(self.linked(self.scratch.store(pairs)))
         joined = roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))
-        return first.unionByName(second), components(joined.unionByName(second), self.scratch)
+        return components(joined.unionByName(second), self.scratch)
 
 
 def near_duplicates(
@@ -393,7 +414,7 @@ def near_duplicates(
     candidates are dropped.
     """
     run = _Run(docs, id, text, words, percent)
-    _, roots = run.links()
+    roots = run.components()
     grouped = (
         run.classes.select("set_key", "id")
         .join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
