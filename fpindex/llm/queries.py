@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fpindex.llm.neardup import near_duplicates
+from fpindex.llm.pieces import piece_summary
+from fpindex.llm.scratch import Scratch
+from fpindex.llm.token_counts import line_sections, token_counts
+from fpindex.llm.token_store import token_checksums, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,3 +30,24 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on four-word shingles."""
     found = near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=80)
     return found.drop("text_key")
+
+
+@query
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    path = Scratch(spark).path()
+    write_tokens(_read(spark, sf_dir, "documents"), path)
+    return token_checksums(spark, path)
+
+
+@query
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, decoded again."""
+    return piece_summary(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of all documents."""
+    docs = _read(spark, sf_dir, "documents")
+    return token_counts(docs.withColumn("sections", line_sections(F.col("text"))), rule="most")

@@ -59,26 +59,34 @@ def small_batches(
             at = to
 
 
-def chunk_starts(data: np.ndarray, offsets: np.ndarray, cautious: bool = False) -> np.ndarray:
-    """Where chunks start: at each text, and where white space follows a word.
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
 
-    With ``cautious`` there is no cut after a character that Unicode, but not
-    the byte table, may count as white space (or that shares its lead byte).
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray, cut_at: str = "white") -> np.ndarray:
+    """Where chunks start: at each text, and where ``cut_at`` says.
+
+    * ``white``: where white space follows a word;
+    * ``space``: where a space follows anything but a space;
+    * ``pattern``: where white space follows a word, but not after a character
+      that Unicode may count as white space too (or that shares its lead
+      byte), and where a sign other than an apostrophe follows A-Z or a-z.
     """
-    space = IS_SPACE[data]
+    space = IS_SPACE[data] if cut_at != "space" else data == 32
     cut = np.zeros(len(data), bool)
     np.logical_and(space[1:], ~space[:-1], out=cut[1:])
-    if cautious and len(data) > 2:
+    if cut_at == "pattern" and len(data) > 2:
         cut[2:] &= data[:-2] != 0xC2
         cut[3:] &= ~((data[:-3] >= 0xE1) & (data[:-3] <= 0xE3))
+        cut[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
     cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     return np.flatnonzero(cut)
 
 
-def chunks_of(texts: pa.Array, cautious: bool = False) -> Chunks:
+def chunks_of(texts: pa.Array, cut_at: str = "white") -> Chunks:
     """All chunks of a batch of texts."""
     data, offsets = flat(texts)
-    starts = chunk_starts(data, offsets, cautious)
+    starts = chunk_starts(data, offsets, cut_at)
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
         return Chunks(np.zeros(0, np.int32), bounds, [])
