@@ -47,3 +47,94 @@ ORACLE["op4_near_duplicates"] = f"""
 WITH RECURSIVE {components(4, 80)}
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN grouped g USING (doc_id)"""
+
+
+ORACLE["op7_decontamination"] = f"""
+WITH item AS MATERIALIZED (
+  SELECT item_id, {words("coalesce(text, '')")} AS w FROM benchmark),
+doc AS MATERIALIZED (
+  SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+item_shingle AS MATERIALIZED (
+  SELECT item_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS q,
+         unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM item WHERE len(w) >= 5),
+doc_shingle AS MATERIALIZED (
+  SELECT doc_id, len(w) AS n_doc, unnest(range(0, len(w) - 4)) AS p,
+         unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM doc WHERE len(w) >= 5),
+place AS (
+  SELECT DISTINCT doc_id, n, greatest(0, least(p - q, n_doc - n)) AS start
+  FROM doc_shingle JOIN item_shingle USING (s)),
+cut AS MATERIALIZED (
+  SELECT doc_id, n, start, w[start + 1:start + n] AS v FROM place JOIN doc USING (doc_id)),
+window_count AS MATERIALIZED (
+  SELECT doc_id, n, start, s, count(*) AS c FROM (
+    SELECT doc_id, n, start,
+           unnest(list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' '))) AS s
+    FROM cut) GROUP BY ALL),
+item_count AS MATERIALIZED (
+  SELECT item_id, n, s, count(*) AS c FROM item_shingle GROUP BY ALL),
+common AS (
+  SELECT a.doc_id, a.n, a.start, b.item_id, sum(least(a.c, b.c)) AS common
+  FROM window_count a JOIN item_count b USING (n, s) GROUP BY ALL),
+sized AS (
+  SELECT c.*, (SELECT len(v) - 4 FROM cut x WHERE x.doc_id = c.doc_id AND x.n = c.n AND x.start = c.start)
+              + c.n - 4 - common AS either FROM common c),
+good AS (
+  SELECT doc_id, item_id, start, n, common / either AS similarity FROM sized
+  WHERE common * 100 >= either * 80)
+SELECT doc_id, item_id, start, n AS n_words, similarity FROM good
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
+
+_LAST = "list_reverse(string_split(host, '.'))"
+
+
+def _strength(children: str, parents: str, key: str) -> str:
+    """Scalar sub-query of the prior weight of one level."""
+    return f"""(
+  SELECT 1 / CASE WHEN d > k THEN least(greatest((s - k) / (d - k), 0.001), 0.5) ELSE 0.1 END - 1 FROM (
+    SELECT sum(c.n * (c.good / c.n - p.good / p.n) * (c.good / c.n - p.good / p.n)
+               / ((p.good / p.n) * (1 - p.good / p.n))) AS s,
+           sum(1 - c.n / p.n) AS k, sum(c.n * (1 - c.n / p.n)) AS d
+    FROM {children} c JOIN {parents} p USING ({key})
+    WHERE c.n > 0 AND p.good > 0 AND p.good < p.n))"""
+
+
+ORACLE["op9_url_filter"] = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r
+  FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{_UPPER}', '{_UPPER.lower()}') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (
+  SELECT page_id, verdict, text FROM parts, (VALUES
+    ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'),
+    ('block', 'example.org', '/en/1', 'example.org/en/1'), ('allow', 'com', '/fr/', 'com/fr/'),
+    ('block', 'com', '/de/', 'com/de/')) r(verdict, rule_host, rule_path, text)
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+ruled AS (
+  SELECT page_id, arg_max(text, length(text)) AS rule, arg_max(verdict, length(text)) AS ruled
+  FROM fits GROUP BY page_id),
+judged AS MATERIALIZED (SELECT p.*, rule, ruled FROM parts p LEFT JOIN ruled USING (page_id)),
+hosts AS MATERIALIZED (
+  SELECT host, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(*) FILTER (ruled = 'allow') AS DOUBLE) AS good,
+         {_LAST}[1] AS suffix,
+         CASE WHEN len({_LAST}) > 1 THEN {_LAST}[2] || '.' || {_LAST}[1] ELSE host END AS domain
+  FROM judged GROUP BY host),
+domains AS MATERIALIZED (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
+suffixes AS MATERIALIZED (SELECT suffix, 1 AS every, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL),
+total AS MATERIALIZED (SELECT 1 AS every, sum(n) AS n, sum(good) AS good FROM suffixes),
+weight AS MATERIALIZED (
+  SELECT {_strength("hosts", "domains", "domain")} AS h, {_strength("domains", "suffixes", "suffix")} AS d,
+         {_strength("suffixes", "total", "every")} AS s,
+         (SELECT CASE WHEN n > 0 THEN good / n ELSE 0.5 END FROM total) AS top),
+by_suffix AS (SELECT suffix, (good + top * s) / (n + s) AS prior FROM suffixes, weight),
+by_domain AS (
+  SELECT domain, (good + prior * d) / (n + d) AS prior FROM weight, domains JOIN by_suffix USING (suffix)),
+rated AS (
+  SELECT host, (good + prior * h) / (n + h) AS rate, n + h AS w FROM weight, hosts JOIN by_domain USING (domain))
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN rate + 1.645 * sqrt(rate * (1 - rate) / (w + 1)) < 0.5 THEN 'block'
+                            ELSE 'allow' END) AS verdict
+FROM judged JOIN rated USING (host)"""

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fpindex.llm.decontaminate import find_leaks
 from fpindex.llm.neardup import near_duplicates
 from fpindex.llm.pieces import piece_summary
 from fpindex.llm.scratch import Scratch
 from fpindex.llm.token_counts import line_sections, token_counts
 from fpindex.llm.token_store import token_checksums, write_tokens
+from fpindex.llm.urls import judge_urls, parse_rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,6 +33,15 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=80)
     return found.drop("text_key")
 
+#: The rules of the url query.
+URL_RULES = [
+    parse_rule("allow", "org/"),
+    parse_rule("block", "example.org/es/"),
+    parse_rule("block", "example.org/en/1"),
+    parse_rule("allow", "com/fr/"),
+    parse_rule("block", "com/de/"),
+]
+
 
 @query
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,3 +62,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of all documents."""
     docs = _read(spark, sf_dir, "documents")
     return token_counts(docs.withColumn("sections", line_sections(F.col("text"))), rule="most")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents."""
+    leaks = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return leaks.drop("text_key")
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages."""
+    return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
