@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from fpindex.llm.graph import components
 from fpindex.llm.scratch import Scratch
 from fpindex.llm.texts import BATCH_BYTES, mixed, segment_ids, small_batches, word_hashes
+from fpindex.llm.workers import whole_groups
 
 #: 32 bands of 4 values: a pair at similarity 0.8 shares none of them once in 2 * 10^7.
 BANDS, BAND_ROWS = 32, 4
@@ -240,22 +241,8 @@ def _tiles(percent: int):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            begun = waiting and waiting[-1].column("tile")[-1] != batch.column("tile")[0]
-            if begun:
-                yield from emit(pa.Table.from_batches(waiting))
-                waiting = []
-            tile = np.asarray(batch.column("tile"))
-            last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if (tile != tile[-1]).any() else 0
-            if last:
-                yield from emit(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
-                waiting = []
-            waiting.append(batch.slice(last))
-        if waiting:
-            yield from emit(pa.Table.from_batches(waiting))
+        for table in whole_groups(batches, "tile"):
+            yield from emit(table)
 
     return run
 

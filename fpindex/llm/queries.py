@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fpindex.llm.ctw import score_texts
 from fpindex.llm.decontaminate import find_leaks
 from fpindex.llm.neardup import near_duplicates
 from fpindex.llm.pieces import piece_summary
@@ -75,3 +76,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages."""
     return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by context-tree weighting."""
+    return score_texts(_read(spark, sf_dir, "documents"), folds=7, fold=2)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
 
 def kept(key: Hashable, make: Callable):
@@ -21,3 +24,26 @@ def kept(key: Hashable, make: Callable):
             store.pop(next(iter(store)))
         store[key] = make()
     return store[key]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Sorted batches joined into tables, none of which splits the rows of a key.
+
+    Holds the rows of one key and one batch at a time.
+    """
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(column)
+        if waiting and waiting[-1].column(column)[-1] != keys[0]:
+            yield pa.Table.from_batches(waiting)
+            waiting = []
+        other = np.flatnonzero(np.asarray(keys) != keys[-1].as_py())
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last:
+            yield pa.Table.from_batches([*waiting, batch.slice(0, last)])
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
