@@ -390,11 +390,12 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``docs``: its component and whether it stays.
 
-    Returns ``doc_id, text_key, n_shingles, component_id, kept``. Texts are
+    Returns ``doc_id, text_key, n_shingles, component_id, group_key, kept``. Texts are
     linked if ``100 * |A and B| >= percent * |A or B|`` for their sets of
     ``words``-word shingles; ``component_id`` is the smallest id reachable,
     ``kept`` marks the row that bears it. ``text_key`` tells apart rows that
-    repeat an id with different texts. A text that is null, empty or without
+    repeat an id with different texts, ``group_key`` names the component also
+    where ids do not. A text that is null, empty or without
     words has no shingles and is linked with nothing. A null id counts as
     larger than all others. Repeated rows give repeated rows. Other columns of
     ``docs`` play no part. Buckets of any size are worked on in tiles; no
@@ -408,7 +409,7 @@ def near_duplicates(
         .withColumn("root", F.coalesce("root", "set_key"))
     )
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = run.scratch.store(grouped.join(least, "root").select("set_key", "component_id"))
+    classes = run.scratch.store(grouped.join(least, "root").select("set_key", "root", "component_id"))
     out = run.scratch.store(
         run.rows.select("id", "text_key", "n_shingles", "set_key")
         .join(classes, "set_key", "left")
@@ -419,6 +420,7 @@ def near_duplicates(
             F.when(F.col("set_key").isNull(), F.col("id"))
             .otherwise(F.col("component_id"))
             .alias("component_id"),
+            F.col("root").alias("group_key"),
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

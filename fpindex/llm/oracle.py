@@ -138,3 +138,16 @@ SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN rate + 1.645 * sqrt(rate * (1 - rate) / (w + 1)) < 0.5 THEN 'block'
                             ELSE 'allow' END) AS verdict
 FROM judged JOIN rated USING (host)"""
+
+ORACLE["op2_top_k"] = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e, row_number() OVER () AS row
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, q.row AS row, d.vec_id AS vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.row <> d.row AND len(q.e) = len(d.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, row ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM p QUALIFY rank <= 5"""

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from fpindex.llm.ctw import score_texts
 from fpindex.llm.decontaminate import find_leaks
+from fpindex.llm.langid import identify
 from fpindex.llm.neardup import near_duplicates
 from fpindex.llm.pieces import piece_summary
 from fpindex.llm.scratch import Scratch
 from fpindex.llm.token_counts import line_sections, token_counts
 from fpindex.llm.token_store import token_checksums, write_tokens
+from fpindex.llm.topk import top_k
+from fpindex.llm.toxicity import score_toxicity
 from fpindex.llm.urls import judge_urls, parse_rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +35,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on four-word shingles."""
     found = near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=80)
-    return found.drop("text_key")
+    return found.drop("text_key", "group_key")
 
 #: The rules of the url query.
 URL_RULES = [
@@ -82,3 +85,22 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents by context-tree weighting."""
     return score_texts(_read(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return score_toxicity(docs, labels, folds=5, held_out=0)
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return identify(_read(spark, sf_dir, "documents"), folds=4, held_out=2)
+
+
+@query
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every 50th vector against all others."""
+    return top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50)
