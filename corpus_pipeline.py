@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from fpindex.llm import langid, toxicity
 from fpindex.llm.decontaminate import find_leaks
 from fpindex.llm.neardup import near_duplicates
-from fpindex.llm.pieces import decode, encode
+from fpindex.llm.pieces import encode
 from fpindex.llm.scratch import Scratch
 
 #: A document is toxic from this score on.
@@ -71,9 +71,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
-    coded = decode(encode(docs, out="pieces"), out="decoded")
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.withColumn("n_pieces", F.size("pieces")).withColumn("round_trip", same).drop("decoded")
+    coded = encode(docs, out="pieces", round_trip="round_trip")
+    return coded.withColumn("n_pieces", F.size("pieces"))
 
 
 STAGES = [

@@ -74,7 +74,7 @@ class Model(NamedTuple):
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per language, n-grams of its words (``feature`` from 0) and letters by script (below 0)."""
-    for batch in small_batches(batches, "text", BATCH_BYTES):
+    for batch in small_batches(batches, "text", BATCH_BYTES // 2):
         chunks = chunks_of(batch.column("text"))
         words = words_in(chunks.values)
         ids, of = ngrams(words, LOW, HIGH, BUCKETS)
@@ -207,7 +207,7 @@ def language_column(docs: DataFrame, model: Model, text: str = "text", penalty:
         if not model.languages:
             names, parts = [UNDETERMINED] * len(texts), [np.zeros(len(texts))]
         else:
-            for batch in small_batches(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t"):
+            for batch in small_batches(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t", BATCH_BYTES // 2):
                 some, share = _main_language(model, batch.column("t"), penalty)
                 names += some
                 parts.append(share)
@@ -226,7 +226,7 @@ def spans_column(docs: DataFrame, model: Model, text: str = "text", penalty: flo
     def spans(texts: pa.Array) -> pa.Array:
         model = Model(*shared.value)
         out: list[list[dict]] = []
-        for batch in small_batches(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t"):
+        for batch in small_batches(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t", BATCH_BYTES // 2):
             chunks, path, letters = label_words(model, batch.column("t"), penalty)
             for a, b in zip(chunks.bounds, chunks.bounds[1:]):
                 cuts = np.flatnonzero(np.diff(path[a:b])) + 1

@@ -17,9 +17,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from fpindex.llm.bpe import runs
 from fpindex.llm.texts import BATCH_BYTES, chunks_of, flat, small_batches
 
 MARKER = "▁".encode()
@@ -293,34 +296,75 @@ def _coder(model) -> Callable[[], Unigram]:
     return load
 
 
+def _encoding(load, text: str, round_trip: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unigram = load()
+        for batch in small_batches(batches, text, BATCH_BYTES // 8):
+            texts = batch.column(text)
+            ids, bounds = unigram.encode(texts)
+            columns = [pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids.astype(np.int32)))]
+            if round_trip:
+                columns.append(pa.array(_same(unigram, ids, bounds, texts), pa.bool_()))
+            names = [str(i) for i in range(batch.num_columns + len(columns))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+
+    return run
+
+
+def _same(unigram: Unigram, ids: np.ndarray, bounds: np.ndarray, texts: pa.Array) -> list[bool]:
+    """Whether the pieces of each text decode to it."""
+    data, offsets = flat(texts)
+    back, ends = unigram.decode(ids, bounds)
+    return [
+        np.array_equal(back[a:b], data[x:y]) for a, b, x, y in zip(ends, ends[1:], offsets, offsets[1:])
+    ]
+
+
+def _added(df: DataFrame, new: list[StructField]) -> tuple[DataFrame, StructType, list[str]]:
+    """Columns that stay, and the schema with the new ones behind them."""
+    names = {f.name for f in new}
+    kept = df.select(*[c for c in df.columns if c not in names])
+    schema = StructType([*kept.schema.fields, *new])
+    numbered = StructType([StructField(str(i), f.dataType) for i, f in enumerate(schema.fields)])
+    return kept, numbered, schema.names
+
+
 def encode(
-    docs: DataFrame, model: str | None = None, text: str = "text", out: str = "pieces"
+    docs: DataFrame,
+    model: str | None = None,
+    text: str = "text",
+    out: str = "pieces",
+    round_trip: str | None = None,
 ) -> DataFrame:
     """``docs`` with the piece ids of ``text`` as an array column ``out``.
 
-    All other columns and rows stay as they are; a column of the name ``out``
-    is replaced. A null or empty text has no pieces.
+    ``round_trip`` names a column that tells whether decoding gives the text.
+    All other columns and rows stay as they are; columns of the new names are
+    replaced. A null or empty text has no pieces.
     """
     load = _coder(shared_model(docs.sparkSession, model))
+    new = [StructField(out, ArrayType(IntegerType()))]
+    if round_trip:
+        new.append(StructField(round_trip, BooleanType()))
+    kept, schema, names = _added(docs, new)
+    return kept.mapInArrow(_encoding(load, text, bool(round_trip)), schema).toDF(*names)
 
-    @F.arrow_udf("array<int>")
-    def pieces(texts: pa.Array) -> pa.Array:
-        return _lists(load(), texts)
-
-    return docs.withColumn(out, pieces(F.col(text)))
-
-
-def _lists(unigram: Unigram, texts: pa.Array) -> pa.Array:
-    parts = [unigram.encode(b.column(0)) for b in small_batches(_one(texts), "t", BATCH_BYTES // 4)]
-    if not parts:
-        return pa.array([], pa.list_(pa.int32()))
-    return pa.concat_arrays(
-        [pa.ListArray.from_arrays(b.astype(np.int32), pa.array(i.astype(np.int32))) for i, b in parts]
-    )
 
+def _decoding(load, pieces: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unigram = load()
+        for batch in batches:
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(pieces)), 0), np.int64)
+            for a, b in runs(sizes.tolist(), 1 << 20):
+                part = batch.slice(a, b - a)
+                bounds = np.concatenate([[0], np.cumsum(sizes[a:b])])
+                data, ends = unigram.decode(np.asarray(part.column(pieces).flatten(), np.int64), bounds)
+                raw = data.tobytes()
+                texts = pa.array([raw[x:y].decode() for x, y in zip(ends, ends[1:])], pa.string())
+                names = [str(i) for i in range(part.num_columns + 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
 
-def _one(texts: pa.Array) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([texts], names=["t"])
+    return run
 
 
 def decode(
@@ -328,16 +372,8 @@ def decode(
 ) -> DataFrame:
     """``rows`` with the text of the piece ids in ``pieces`` as a column ``out``; null gives an empty text."""
     load = _coder(shared_model(rows.sparkSession, model))
-
-    @F.arrow_udf("string")
-    def text(lists: pa.Array) -> pa.Array:
-        sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-        ids = np.asarray(lists.flatten(), np.int64)
-        data, bounds = load().decode(ids, np.concatenate([[0], np.cumsum(sizes)]))
-        raw = data.tobytes()
-        return pa.array([raw[a:b].decode() for a, b in zip(bounds, bounds[1:])], pa.string())
-
-    return rows.withColumn(out, text(F.col(pieces)))
+    kept, schema, names = _added(rows, [StructField(out, StringType())])
+    return kept.mapInArrow(_decoding(load, pieces), schema).toDF(*names)
 
 
 def _summary(load):
@@ -345,14 +381,9 @@ def _summary(load):
         unigram = load()
         for batch in small_batches(batches, "text", BATCH_BYTES // 4):
             texts = batch.column("text")
-            data, offsets = flat(texts)
             ids, bounds = unigram.encode(texts)
-            back, ends = unigram.decode(ids, bounds)
             raw = np.ascontiguousarray(ids, "<u4").tobytes()
-            same = [
-                np.array_equal(back[a:b], data[x:y])
-                for a, b, x, y in zip(ends, ends[1:], offsets, offsets[1:])
-            ]
+            same = _same(unigram, ids, bounds, texts)
             byte_ids = np.concatenate([[0], np.cumsum(unigram.is_byte[ids])])[bounds]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fpindex.llm.subwords import has_word, ngrams, words_in
-from fpindex.llm.texts import chunks_of, segment_ids, segment_sums, small_batches
+from fpindex.llm.texts import BATCH_BYTES, chunks_of, segment_ids, segment_sums, small_batches
 
 LOW, HIGH, BUCKETS = 3, 5, 1 << 18
 #: The sample: so many rows of each label at most, of texts up to so many bytes.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 1500, 1 << 16
+SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 1200, 1 << 16
 SIZE, EPOCHS, RATE = 8, 100, 0.05
 #: Means over hundreds of words are small; the softmax sees them this much larger.
 GAIN = 100.0
@@ -135,7 +135,7 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 0) -> M
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
     """Probability of label 1 for each text."""
     out = []
-    for batch in small_batches(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t"):
+    for batch in small_batches(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t", BATCH_BYTES // 2):
         chunks = chunks_of(batch.column("t"))
         ids, of = ngrams(words_in(chunks.values), LOW, HIGH, BUCKETS)
         n = len(chunks.values)
