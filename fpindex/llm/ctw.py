@@ -28,7 +28,9 @@ DEPTH = 5
 #: are scored with in several passes, one part of the model each.
 PART_ENTRIES = 8_000_000
 _END, _PAD = 10, 8
-_TEXT_BYTES = 4 << 20
+_TEXT_BYTES = 2 << 20
+#: Counts that a task gathers before it merges them.
+_GATHERED = 1 << 20
 
 
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,22 +130,50 @@ def chances(levels: list[Level]) -> list[np.ndarray]:
     return out
 
 
+class Counter:
+    """Counts of keys, merged whenever many have come together."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, values: np.ndarray) -> None:
+        self.waiting.append(np.unique(values, return_counts=True))
+        if sum(len(k) for k, _ in self.waiting) > max(_GATHERED, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        keys, counts = zip((self.keys, self.counts), *self.waiting)
+        self.waiting = []
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+        self.keys = keys[first]
+        self.counts = np.add.reduceat(counts, first) if len(first) else counts
+
+    def batches(self, kind: str) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for a in range(0, len(self.keys), 50_000):
+            part = self.keys[a : a + 50_000].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind] * len(part)), pa.array(part), pa.array(self.counts[a : a + 50_000])],
+                names=["kind", "key", "n"],
+            )
+
+
 def _counting(depth: int):
     """Grams and words of training texts, counted per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 * _TEXT_BYTES):
+        grams, words = Counter(), Counter()
+        for batch in small_batches(batches, "text", _TEXT_BYTES):
             texts = batch.column("text")
             data, at, _ = symbols(texts)
-            hashes, _ = word_hashes(texts)
-            for kind, values in (("gram", grams_at(data, at, depth + 1)), ("word", hashes)):
-                keys, n = np.unique(values, return_counts=True)
-                for a in range(0, len(keys), 100_000):
-                    part = keys[a : a + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(part)), pa.array(part), pa.array(n[a : a + 100_000])],
-                        names=["kind", "key", "n"],
-                    )
+            grams.add(grams_at(data, at, depth + 1))
+            words.add(word_hashes(texts)[0])
+        yield from grams.batches("gram")
+        yield from words.batches("word")
 
     return run
 
@@ -233,7 +263,7 @@ class Lookup:
     """A hash table from 64-bit keys to numbers, as arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(1.5 * len(keys)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
         self.values = np.zeros(1 << bits, values.dtype)
@@ -274,9 +304,18 @@ class Part:
         self.add, self.below = state["add"], state["below"]
         self.grams = Lookup(state[0]["key"], state[0]["value"])
         self.levels = {d: (state[d]["key"], state[d]["value"]) for d in range(2, self.depth + 1)}
-        self.words = Lookup(state["words"]["key"], state["words"]["value"])
+        self.words = state["words"]["key"], state["words"]["value"]
         self.ends, self.total = state["ends"], state["total"]
 
+    def count(self, hashes: np.ndarray) -> np.ndarray:
+        """How often words of this part occur in the training texts."""
+        keys, counts = self.words
+        if not len(keys):
+            return np.zeros(len(hashes), np.int64)
+        odd, back = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, odd), len(keys) - 1)
+        return np.where(keys[at] == odd, counts[at], 0)[back]
+
     def mine(self, keys: np.ndarray) -> np.ndarray:
         return mixed(keys) % np.uint64(self.n_parts) == np.uint64(self.part)
 
@@ -322,9 +361,7 @@ def _scoring(model, name: str):
             data, at, edges = symbols(texts)
             scores = np.concatenate([[0.0], np.cumsum(part.logs(grams_at(data, at, part.depth + 1)))])
             hashes, bounds = word_hashes(texts)
-            count, _ = part.words.find(hashes)
-            if part.n_parts > 1:
-                count = np.where(part.mine(hashes), count, 0)
+            count = part.count(hashes)
             known = np.concatenate([[0], np.cumsum(count > 0)])
             logs = np.concatenate([[0.0], np.cumsum(np.log10(count + 1.0))])
             n = np.diff(bounds) + 1
@@ -424,7 +461,7 @@ def score_texts(
         state |= {"ends": n_docs, "total": float(n_tokens + vocabulary + 1)}
         for d in (0, *range(2, depth + 1)):
             chosen = model.filter(F.col("depth") == d).select("key", "value", "ending")
-            state[d] = _collected(chosen, "ending", n_parts, part, np.float64)
+            state[d] = _collected(chosen, "ending", n_parts, part, np.float32 if d else np.float64)
         state["words"] = _collected(
             counted.filter("kind = 'word'").select("key", F.col("n").alias("value")), "key", n_parts, part, np.int64
         )
@@ -460,8 +497,13 @@ def _collected(entries: DataFrame, by: str, n_parts: int, part: int, kind) -> di
     if n_parts > 1:
         entries = entries.mapInArrow(_of_part(by, n_parts, part), entries.schema)
     table = entries.select("key", "value").toArrow()
-    keys = np.asarray(table.column("key").combine_chunks()).view(np.uint64) if len(table) else np.zeros(0, np.uint64)
-    values = np.asarray(table.column("value").combine_chunks()).astype(kind) if len(table) else np.zeros(0, kind)
+    parts = [
+        (np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1)).astype(kind)) for b in table.to_batches()
+    ]
+    del table
+    keys = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in parts]])
+    values = np.concatenate([np.zeros(0, kind), *[v for _, v in parts]])
+    del parts
     order = np.argsort(keys)
     return {"key": keys[order], "value": values[order]}
 

@@ -14,14 +14,13 @@ def kept(key: Hashable, make: Callable):
     """``make()`` once per worker and key.
 
     Functions travel to workers by value, and their module globals with them,
-    so the store is a module of its own. It holds tokenizers and models whose
-    size is bounded where they are made, two at most.
+    so the store is a module of its own. It holds one tokenizer or model, whose
+    size is bounded where it is made.
     """
     name = "_fpindex_kept"
     store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("store", {})
     if key not in store:
-        while len(store) > 1:
-            store.pop(next(iter(store)))
+        store.clear()
         store[key] = make()
     return store[key]
 
