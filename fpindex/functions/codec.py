@@ -79,8 +79,10 @@ def malformed_pairs(packed: Column) -> Column:
     return F.size(F.filter(_chunks(packed), lambda p: ~p.rlike(_WELL_FORMED))).cast("long")
 
 
-def fit_pairs(pairs: Column, max_bytes: int = PACKED_MAX_BYTES) -> Column:
+def fit_pairs(pairs: Column, max_bytes: int | None = PACKED_MAX_BYTES) -> Column:
     """Join ``ALGO:hex`` strings in order, leaving out each one that would overflow."""
+    if max_bytes is None:
+        return F.array_join(pairs, " ")
 
     def step(acc: Column, pair: Column) -> Column:
         candidate = F.when(acc == "", pair).otherwise(F.concat(acc, F.lit(" "), pair))
@@ -89,7 +91,7 @@ def fit_pairs(pairs: Column, max_bytes: int = PACKED_MAX_BYTES) -> Column:
     return F.aggregate(pairs, F.lit(""), step)
 
 
-def pack_pairs(pairs: Column, max_bytes: int = PACKED_MAX_BYTES) -> Column:
+def pack_pairs(pairs: Column, max_bytes: int | None = PACKED_MAX_BYTES) -> Column:
     """Pack ``array<struct<algo,hash>>`` in its own order."""
     return fit_pairs(
         F.transform(pairs, lambda p: F.concat(F.upper(p["algo"]), F.lit(":"), p["hash"])),
@@ -110,7 +112,7 @@ def canonical_pairs(hashes: Column) -> Column:
     )
 
 
-def pack_checksums(hashes: Column, max_bytes: int = PACKED_MAX_BYTES) -> Column:
+def pack_checksums(hashes: Column, max_bytes: int | None = PACKED_MAX_BYTES) -> Column:
     """Pack a ``map<algo,hash>`` in canonical order."""
     return pack_pairs(canonical_pairs(hashes), max_bytes)
 
@@ -124,11 +126,16 @@ def merge_pairs(new: Column, existing: Column) -> Column:
     )
 
 
-def rewrite_packed(new: Column, existing_packed: Column, keep_additional: bool = False) -> Column:
+def rewrite_packed(
+    new: Column,
+    existing_packed: Column,
+    keep_additional: bool = False,
+    max_bytes: int | None = PACKED_MAX_BYTES,
+) -> Column:
     """Packed string after storing ``new`` pairs over ``existing_packed``."""
     if not keep_additional:
-        return pack_pairs(new)
-    return pack_pairs(merge_pairs(new, packed_pairs(existing_packed)))
+        return pack_pairs(new, max_bytes)
+    return pack_pairs(merge_pairs(new, packed_pairs(existing_packed)), max_bytes)
 
 
 def hash_key(algo: Column) -> Column:

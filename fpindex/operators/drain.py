@@ -29,6 +29,7 @@ from fpindex.constants import (
     MODE_MISSING,
     MODE_NEW,
 )
+from fpindex.functions import codec
 from fpindex.operators.joins import keep_ids, plan_size
 from fpindex.operators.pending import pending, seed_pending
 from fpindex.operators.rehash import (
@@ -197,10 +198,30 @@ def drained_index(index: DataFrame, outcome: DataFrame) -> DataFrame:
     )
 
 
+def drained_files(files: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Inventory after a drain: the packed column of a drained file has its hashes and no others.
+
+    A later drain takes packed hashes for known ones, as fresh as the state
+    says; old ones must not outlive the drain that replaced them. The column of
+    a file that was cleared is empty, that of a failed file stays as it is.
+    """
+    done = outcome.filter("success").select(
+        F.col("file_id").alias("fileid"),
+        codec.pack_checksums(F.col("hashes"), None).alias("_packed"),
+        F.lit(True).alias("_done"),
+    )
+    packed = F.when(F.col("_done"), F.col("_packed")).otherwise(F.col("checksum"))
+    joined = files.join(done, "fileid", "left").withColumn("checksum", packed)
+    return joined.select(*files.columns)
+
+
 def settle(
     state: DataFrame, index: DataFrame, outcome: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """State, index and outcome of a drain that is computed once for all of them."""
+    """State, index and outcome of a drain that is computed once for all of them.
+
+    Drain again only with the inventory of :func:`drained_files`.
+    """
     outcome = cut_lineage(outcome)
     return drained_state(state, outcome), drained_index(index, outcome), outcome
 
@@ -212,6 +233,18 @@ def drain_totals(outcome: DataFrame) -> DataFrame:
     )
 
 
+def seeded_state(files: DataFrame, state: DataFrame) -> DataFrame:
+    """State with a row for every file."""
+    return state.select("file_id", "updated_at", "pending_mode").unionByName(
+        seed_pending(files, state)
+    )
+
+
+def rebuilt_state(files: DataFrame, state: DataFrame, outcome: DataFrame) -> DataFrame:
+    """State after a rebuild: what was drained, and the seeds that were not."""
+    return drained_state(seeded_state(files, state), outcome)
+
+
 def rebuild(
     files: DataFrame,
     state: DataFrame,
@@ -224,10 +257,10 @@ def rebuild(
     algos: Sequence[str] = ALGOS,
     broadcast_rows: int = BROADCAST_PLAN_ROWS,
 ) -> DataFrame:
-    """Seed untracked files, then drain the queue; the outcome of the drain."""
-    seeded = state.select("file_id", "updated_at", "pending_mode").unionByName(
-        seed_pending(files, state)
-    )
+    """Seed untracked files, then drain the queue; the outcome of the drain.
+
+    With ``batch`` some seeds stay in the queue: store :func:`rebuilt_state`.
+    """
     return drain(
-        seeded, files, index, rules, content, now, lazy, batch, algos, broadcast_rows
+        seeded_state(files, state), files, index, rules, content, now, lazy, batch, algos, broadcast_rows
     )

@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.constants import BROADCAST_PLAN_ROWS, HOT_GROUP_ROWS, INDEX_VALUE_LENGTH
+from fpindex.constants import HOT_GROUP_ROWS, INDEX_VALUE_LENGTH
 from fpindex.functions.paths import display_path
 from fpindex.functions.codec import index_value
-from fpindex.operators.joins import fits, join_groups, spread_join
-from fpindex.operators.lookup import clamp
+from fpindex.operators.joins import join_groups, spread_join
+from fpindex.operators.lookup import checked_limit
 from fpindex.operators.paths import resolve_paths
 
 KEYS = ["algo", "hash_value"]
@@ -49,17 +49,17 @@ def group_order() -> list[Column]:
 
 def page(
     groups: DataFrame,
-    limit: int,
+    limit: int | None,
     offset: int = 0,
-    max_limit: int = 500,
     after: tuple[int, str, str] | None = None,
 ) -> DataFrame:
     """One page of groups in order, with ``has_more`` and the true ``total_groups``.
 
     ``offset`` skips groups one by one; to go deep, give ``after``: the
     ``(file_count, algo, hash_value)`` of the last group of the page before.
+    ``limit=None`` gives all groups behind the offset.
     """
-    limit, offset = clamp(limit, 1, max_limit), max(0, offset)
+    limit, offset = checked_limit(limit), max(0, offset)
     total = groups.select(F.count("*")).scalar()
     rest = groups
     if after is not None:
@@ -69,12 +69,11 @@ def page(
             (n < count) | ((n == count) & ((name > algo) | ((name == algo) & (key > value))))
         )
     left = total if after is None else rest.select(F.count("*")).scalar()
+    ordered = rest.orderBy(*group_order()).offset(offset)
     return (
-        rest.orderBy(*group_order())
-        .offset(offset)
-        .limit(limit)
+        (ordered if limit is None else ordered.limit(limit))
         .withColumn("total_groups", total)
-        .withColumn("has_more", left > F.lit(offset + limit))
+        .withColumn("has_more", F.lit(False) if limit is None else left > F.lit(offset + limit))
     )
 
 
@@ -177,39 +176,27 @@ def same_hash_counts(index: DataFrame) -> DataFrame:
 def same_hash(
     index: DataFrame,
     ids: DataFrame,
-    few: bool | None = None,
     hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Files that share a hash with any file in ``ids(file_id)``.
 
     The result has one row per (algo, hash, file), never one per pair: a file
-    asked for is listed only if another one asked for has the same hash. Few
-    files are looked up; for many the groups of the whole index are counted.
-    Unless ``few`` says which, the ids are counted.
+    asked for is listed only if another one asked for has the same hash. Groups
+    are counted before their members are joined, so that hot ones are split.
     """
     probes = ids.select("file_id").distinct()
-    if few is None:
-        few = fits(ids.select("file_id"), BROADCAST_PLAN_ROWS)
     members = _members(index, None)
-    if few:
-        groups = (
-            members.join(probes, "file_id", "left_semi")
-            .groupBy(*KEYS)
-            .agg(F.count("*").alias("probe_count"), F.min("file_id").alias("_probe"))
-        )
-        rows = spread_join(members, groups, KEYS, spread_by="file_id")
-    else:
-        flagged = members.join(probes.withColumn("_asked", F.lit(True)), "file_id", "left")
-        groups = (
-            flagged.groupBy(*KEYS)
-            .agg(
-                F.count("*").alias("_n"),
-                F.count("_asked").alias("probe_count"),
-                F.min(F.when(F.col("_asked"), F.col("file_id"))).alias("_probe"),
-            )
-            .filter("_n > 1 AND probe_count > 0")
+    flagged = members.join(probes.withColumn("_asked", F.lit(True)), "file_id", "left")
+    groups = (
+        flagged.groupBy(*KEYS)
+        .agg(
+            F.count("*").alias("_n"),
+            F.count("_asked").alias("probe_count"),
+            F.min(F.when(F.col("_asked"), F.col("file_id"))).alias("_probe"),
         )
-        rows = join_groups(members, groups, KEYS, "_n", "file_id", hot_rows)
+        .filter("_n > 1 AND probe_count > 0")
+    )
+    rows = join_groups(members, groups, KEYS, "_n", "file_id", hot_rows)
     return rows.filter((F.col("probe_count") > 1) | (F.col("file_id") != F.col("_probe"))).select(
         *KEYS, "file_id", "probe_count"
     )
@@ -221,13 +208,12 @@ def same_hash_with_paths(
     files: DataFrame,
     storages: DataFrame,
     user: str | None = None,
-    few: bool | None = None,
 ) -> DataFrame:
     """As :func:`same_hash`, with paths and only the files a user sees."""
     paths = resolve_paths(files, storages, user).select(
         F.col("fileid").alias("file_id"), "path", "name"
     )
-    return same_hash(index, ids, few).join(paths, "file_id").select(
+    return same_hash(index, ids).join(paths, "file_id").select(
         *KEYS, F.col("file_id").alias("fileid"), "path", "name"
     )
 

@@ -116,8 +116,8 @@ def top_per_key(
 
 
 def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops counting beyond."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has at most ``rows`` rows; counted per partition, no row moves."""
+    return df.count() <= rows
 
 
 def plan_size(ids: DataFrame, files: DataFrame, rows: int) -> tuple[bool, bool]:

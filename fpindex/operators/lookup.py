@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.constants import ALGOS, BROADCAST_PLAN_ROWS
+from fpindex.constants import ALGOS
 from fpindex.functions import codec
 from fpindex.functions.terms import parse_hash_term
-from fpindex.operators.joins import fits, hot_join, spread_join
+from fpindex.operators.joins import hot_join
 from fpindex.operators.paths import resolve_paths, visible_files
 
 DEFAULT_LIMIT = 100
-MAX_LIMIT = 500
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(value, high))
+def checked_limit(limit: int | None) -> int | None:
+    """The limit as given; numbers below 1 are refused, ``None`` is all."""
+    if limit is not None and limit < 1:
+        raise ValueError("a limit is 1 or more, or None for all")
+    return limit
+
+
+def paths_of(hits: DataFrame, files: DataFrame, storages: DataFrame, user: str | None) -> DataFrame:
+    """Resolved paths of the files in ``hits(fileid)``; the inventory meets the hits first."""
+    wanted = hits.select("fileid").distinct()
+    return resolve_paths(files.join(wanted, "fileid", "left_semi"), storages, user)
 
 
 def filter_hash(index: DataFrame, value: str | Column, algo: str | None = None) -> DataFrame:
@@ -31,26 +39,28 @@ def find_by_hash(
     storages: DataFrame,
     value: str | Column,
     algo: str | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
     user: str | None = None,
 ) -> DataFrame:
-    """``(fileid, algo, hash, path, name)`` of the files with a hash.
+    """``(fileid, algo, hash, path, name, has_more)`` of the files with a hash.
 
     Filters come before the limit, so a page is short only when there are no
-    more matches. The hash is a text or a scalar subquery.
+    more matches; ``has_more`` tells whether the limit left any out, and
+    ``limit=None`` gives all. The hash is a text or a scalar subquery.
     """
+    checked_limit(limit)
     if isinstance(value, str):
         value = value.strip().lower()
         if not value:
             raise ValueError("a hash is required")
     hits = filter_hash(index, value, algo).withColumnRenamed("file_id", "fileid")
-    paths = resolve_paths(files, storages, user)
-    return (
-        hits.join(paths, "fileid")
-        .select("fileid", "algo", "hash", "path", "name")
-        .orderBy("fileid", "algo")
-        .limit(clamp(limit, 1, MAX_LIMIT))
+    found = hits.join(paths_of(hits, files, storages, user), "fileid").select(
+        "fileid", "algo", "hash", "path", "name"
     )
+    if limit is None:
+        return found.withColumn("has_more", F.lit(False))
+    total = found.select(F.count("*")).scalar()
+    return found.orderBy("fileid", "algo").limit(limit).withColumn("has_more", total > limit)
 
 
 def find_by_hashes(
@@ -59,14 +69,12 @@ def find_by_hashes(
     storages: DataFrame,
     probes: DataFrame,
     user: str | None = None,
-    few: bool | None = None,
 ) -> DataFrame:
     """Batch form: ``probes(hash[, algo])``, a null algo standing for any.
 
-    Probes are made unique first. The index side is dealt over several tasks per
-    hash, because one content (the empty file) may be much of a store: for few
-    probes by repeating them all, for many by repeating those of hot hashes only.
-    Unless ``few`` says which, the probes are counted.
+    Probes are made unique first. One content (the empty file) may be much of a
+    store, so the index rows of hot hashes are counted and dealt over as many
+    tasks as they need.
     """
     if "algo" not in probes.columns:
         probes = probes.select("hash", F.lit(None).cast("string").alias("algo"))
@@ -79,15 +87,12 @@ def find_by_hashes(
             F.collect_set(F.when(codec.supported(F.lower("algo")), F.lower("algo"))).alias("algos"),
         )
     )
-    if few is None:
-        few = fits(probes, BROADCAST_PLAN_ROWS)
-    join = spread_join if few else hot_join
     hits = (
-        join(index, wanted, "hash", spread_by="file_id")
+        hot_join(index, wanted, "hash", spread_by="file_id")
         .filter(F.col("any_algo") | F.array_contains("algos", F.col("algo")))
         .select(F.col("file_id").alias("fileid"), "algo", "hash")
     )
-    return hits.join(resolve_paths(files, storages, user), "fileid").select(
+    return hits.join(paths_of(hits, files, storages, user), "fileid").select(
         "fileid", "algo", "hash", "path", "name"
     )
 
@@ -106,10 +111,9 @@ def search_terms(
     terms: DataFrame,
     user: str | None = None,
     strict: bool = False,
-    few: bool | None = None,
 ) -> DataFrame:
     """Hits of a table of search terms; invalid terms have none."""
-    return find_by_hashes(index, files, storages, parse_terms(terms, strict), user, few)
+    return find_by_hashes(index, files, storages, parse_terms(terms, strict), user)
 
 
 def hashes_by_file(index: DataFrame, state: DataFrame, ids: DataFrame | None = None) -> DataFrame:

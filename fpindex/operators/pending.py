@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.constants import MODE_NEW
+from fpindex.constants import MODE_AUTO, MODE_FORCE, MODE_LAZY, MODE_MISSING, MODE_NEW
 from fpindex.operators.joins import hot_join
 from fpindex.sources.inventory import only_files
 from fpindex.sources.metadata import import_packed
@@ -25,9 +25,19 @@ def seed_pending(files: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
+#: Of several marks of a file without times the strongest counts.
+STRENGTH = (MODE_FORCE, MODE_MISSING, MODE_LAZY, MODE_AUTO, MODE_NEW)
+
+
 def mark_pending(state: DataFrame, marks: DataFrame) -> DataFrame:
-    """State after marking ``marks(file_id, mode)``; files without a row stay unmarked."""
-    last = marks.groupBy("file_id").agg(F.max("mode").alias("mode"))
+    """State after marking ``marks(file_id, mode[, ts])``; files without a row stay unmarked.
+
+    Of several marks of a file the last counts, or without ``ts`` the strongest.
+    """
+    rank = -F.array_position(F.array(*map(F.lit, STRENGTH)), F.col("mode"))
+    rank = F.when(rank == 0, -len(STRENGTH) - 1).otherwise(rank)
+    order = F.struct("ts", rank) if "ts" in marks.columns else rank
+    last = marks.groupBy("file_id").agg(F.max_by("mode", order).alias("mode"))
     return state.join(last, "file_id", "left").select(
         "file_id", "updated_at", F.coalesce("mode", "pending_mode").alias("pending_mode")
     )

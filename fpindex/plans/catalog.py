@@ -102,25 +102,30 @@ def duplicates_text(fx):
 
 @query
 def prefix_collisions(fx):
-    # two characters, so that the audit has something to find
-    return dups.prefix_collisions(fx.index("sha1", "md5"), length=2)
+    # full hashes of one source differ in their last character only, so that there is something to find
+    index = fx.documents.select(
+        F.col("doc_id").alias("file_id"),
+        F.lit("sha256").alias("algo"),
+        F.concat(F.substring(F.sha2("source", 256), 1, 63), F.substring(F.sha2("text", 256), 64, 1)).alias("hash"),
+    )
+    return dups.prefix_collisions(index.unionByName(fx.index("sha1", "md5", "sha256")))
 
 
 @query
 def same_hash(fx):
-    return dups.same_hash(fx.index("sha1", "sha256"), fx.state)
+    return dups.same_hash(fx.index("sha1", "md5", "sha256"), fx.state)
 
 
 @query
 def same_hash_user(fx):
     return dups.same_hash_with_paths(
-        fx.index("sha1", "sha256"), fx.state, fx.files, fx.storages, user="src8", few=False
+        fx.index("sha1", "md5", "sha256"), fx.state, fx.files, fx.storages, user="src8"
     )
 
 
 @query
 def same_hash_counts(fx):
-    return dups.same_hash_counts(fx.index("sha1", "md5"))
+    return dups.same_hash_counts(fx.index("sha1", "md5", "sha256"))
 
 
 # -- lookups -------------------------------------------------------------------
@@ -130,13 +135,13 @@ def same_hash_counts(fx):
 def lookup_by_hash(fx):
     index = fx.index("sha1", "md5", "sha256")
     return lookup.find_by_hash(
-        index, fx.files, fx.storages, _top_hash(fx, "sha1"), limit=lookup.MAX_LIMIT
+        index, fx.files, fx.storages, _top_hash(fx, "sha1"), limit=500
     )
 
 
 @query
 def lookup_absent_hash(fx):
-    return lookup.find_by_hash(fx.index("sha1", "md5"), fx.files, fx.storages, ABSENT)
+    return lookup.find_by_hash(fx.index("sha1", "md5", "sha256"), fx.files, fx.storages, ABSENT)
 
 
 @query
@@ -223,8 +228,7 @@ def hashes_by_path(fx):
 
 @query
 def hash_count_per_file(fx):
-    index = fx.recorded.filter(F.col("algo") != "sha1")
-    return lookup.hash_count_per_file(fx.files, index)
+    return lookup.hash_count_per_file(fx.files, fx.recorded)
 
 
 @query
@@ -392,7 +396,18 @@ def packed_quarantine(fx):
 
 @query
 def eav_import(fx):
-    return metadata.import_eav(fx.eav)
+    return metadata.import_eav(fx.eav, fx.metadata_documents)
+
+
+@query
+def eav_quarantine(fx):
+    return metadata.quarantine_eav(fx.eav, fx.metadata_documents)
+
+
+@query
+def packed_dropped(fx):
+    index = digests.digests_long(fx.documents, "doc_id", "text", ["sha1", "md5", "sha256"])
+    return metadata.packed_dropped(index, max_bytes=120)
 
 
 @query
@@ -690,7 +705,14 @@ def digest_native(fx):
 
 @query
 def digest_all(fx):
-    return digests.digests_long(fx.documents, "doc_id", "text", ALGOS)
+    """All digests; those that SQL engines lack by length and by the first file with the same."""
+    index = digests.digests_long(fx.documents, "doc_id", "text", ALGOS)
+    first = index.groupBy("algo", "hash").agg(F.min("file_id").alias("first_file_id"))
+    known = F.col("algo").isin("sha1", "md5", "sha256", "adler32", "crc32")
+    return index.join(first, ["algo", "hash"]).select(
+        "file_id", "algo", F.when(known, F.col("hash")).alias("hash"),
+        F.length("hash").cast("long").alias("digits"), "first_file_id",
+    )
 
 
 @query

@@ -337,12 +337,16 @@ _BODIES: dict[str, str] = {
         UNION ALL
         SELECT algo, hash_value, fileid, concat('  [', fileid, '] (', owner, ') ', path) FROM listed""",
     "prefix_collisions": """
-        SELECT algo, substr(hash, 1, 2) AS hash_prefix, count(DISTINCT hash) AS hashes,
+        , cut AS (
+            SELECT algo, hash FROM idx
+            UNION ALL
+            SELECT 'sha256', concat(substr(sha256(source), 1, 63), substr(sha256(text), 64, 1)) FROM documents)
+        SELECT algo, substr(hash, 1, 63) AS hash_prefix, count(DISTINCT hash) AS hashes,
                count(*) AS file_count
-        FROM idx WHERE algo IN ('sha1', 'md5')
-        GROUP BY algo, substr(hash, 1, 2) HAVING count(DISTINCT hash) > 1""",
+        FROM cut
+        GROUP BY algo, substr(hash, 1, 63) HAVING count(DISTINCT hash) > 1""",
     "same_hash": """
-        , i AS (SELECT * FROM idx WHERE algo IN ('sha1', 'sha256')),
+        , i AS (SELECT * FROM idx),
         probes AS (SELECT algo, hash, count(*) AS probe_count, min(file_id) AS probe
                    FROM i WHERE file_id IN (SELECT file_id FROM state) GROUP BY algo, hash)
         SELECT i.algo, i.hash AS hash_value, i.file_id, p.probe_count
@@ -350,7 +354,7 @@ _BODIES: dict[str, str] = {
         WHERE EXISTS (SELECT 1 FROM i o JOIN state s ON s.file_id = o.file_id
                       WHERE o.algo = i.algo AND o.hash = i.hash AND o.file_id <> i.file_id)""",
     "same_hash_user": """
-        , i AS (SELECT * FROM idx WHERE algo IN ('sha1', 'sha256'))
+        , i AS (SELECT * FROM idx)
         SELECT i.algo, i.hash AS hash_value, f.fileid, f.path, f.name
         FROM i JOIN owned f ON f.fileid = i.file_id AND f.storage_id = 'home::src8'
         WHERE EXISTS (SELECT 1 FROM i o JOIN state s ON s.file_id = o.file_id
@@ -359,13 +363,13 @@ _BODIES: dict[str, str] = {
         SELECT i.file_id, i.algo, i.hash AS hash_value, g.n - 1 AS other_files
         FROM idx i JOIN (SELECT algo, hash, count(*) AS n FROM idx GROUP BY algo, hash) g
              ON g.algo = i.algo AND g.hash = i.hash
-        WHERE i.algo IN ('sha1', 'md5') AND g.n > 1""",
+        WHERE g.n > 1""",
     "lookup_by_hash": f"""
-        SELECT o.fileid, i.algo, i.hash, o.path, o.name
+        SELECT o.fileid, i.algo, i.hash, o.path, o.name, count(*) OVER () > 500 AS has_more
         FROM idx i JOIN owned o ON o.fileid = i.file_id
         WHERE i.hash = {_TOP.format("sha1")} ORDER BY o.fileid, i.algo LIMIT 500""",
     "lookup_absent_hash": """
-        SELECT o.fileid, i.algo, i.hash, o.path, o.name
+        SELECT o.fileid, i.algo, i.hash, o.path, o.name, false AS has_more
         FROM idx i JOIN owned o ON o.fileid = i.file_id
         WHERE i.hash = sha1('The quick brown fox jumps over the lazy dog.')""",
     "lookup_by_algo_hash": f"""
@@ -421,7 +425,7 @@ _BODIES: dict[str, str] = {
         LEFT JOIN state s ON s.file_id = r.file_id""",
     "hash_count_per_file": """
         SELECT doc_id AS file_id,
-               CAST((lang <> 'de')::BIGINT + (n_chars > 1000)::BIGINT AS BIGINT) AS hash_count
+               CAST(1 + (lang <> 'de')::BIGINT + (n_chars > 1000)::BIGINT AS BIGINT) AS hash_count
         FROM documents""",
     "resolve_paths": "SELECT fileid, path, name, storage_id, owner FROM owned",
     "owner_from_storage": "SELECT id, owner FROM owners",
@@ -511,7 +515,14 @@ _BODIES: dict[str, str] = {
         SELECT fileid AS file_id, concat(checksum, ' x y:z:1 FOO:1') AS packed,
                CAST(3 AS BIGINT) AS bad_pairs
         FROM files WHERE ends_with(path, '.md') AND checksum IS NOT NULL""",
-    "eav_import": "SELECT file_id, algo, substr(hash, 1, 63) AS hash FROM recorded",
+    "eav_import": """
+        SELECT r.file_id, r.algo, r.hash FROM recorded r JOIN documents d ON d.doc_id = r.file_id
+        WHERE r.algo <> 'sha256' OR d.lang NOT IN ('es', 'fr')""",
+    "eav_quarantine": """
+        SELECT r.file_id, 'file-checksum-sha256' AS meta_key, substr(r.hash, 1, 63) AS meta_value_string
+        FROM recorded r JOIN documents d ON d.doc_id = r.file_id
+        WHERE r.algo = 'sha256' AND d.lang IN ('es', 'fr')""",
+    "packed_dropped": "SELECT file_id, algo, hash FROM idx WHERE algo = 'sha256'",
     "eav_state_import": "SELECT file_id, updated_at, pending_mode FROM state",
     "eav_export": "SELECT * FROM eav WHERE meta_key <> 'photos-size'",
     "packed_export": """
@@ -656,6 +667,21 @@ _BODIES: dict[str, str] = {
         LEFT JOIN n ON n.file_id = t.file_id""",
     "digest_sha256": "SELECT * FROM idx WHERE algo = 'sha256'",
     "digest_native": "SELECT * FROM idx",
+    "digest_all": _CHECKSUMS
+    + """
+        , exact AS (
+            SELECT file_id, algo, hash FROM idx
+            UNION ALL
+            SELECT doc_id, 'adler32', printf('%08x', (hi * 65536 + lo)::BIGINT) FROM adler
+            UNION ALL
+            SELECT doc_id, 'crc32', printf('%02x%02x%02x%02x', c & 255, (c >> 8) & 255, (c >> 16) & 255, c >> 24)
+            FROM crc)
+        SELECT file_id, algo, hash, length(hash) AS digits,
+               min(file_id) OVER (PARTITION BY algo, hash) AS first_file_id
+        FROM exact
+        UNION ALL
+        SELECT doc_id, algo, NULL, digits, min(doc_id) OVER (PARTITION BY algo, text)
+        FROM documents CROSS JOIN (VALUES ('sha512', 128::BIGINT), ('sha3-256', 64), ('sha3-512', 128)) a(algo, digits)""",
     "digest_checksums": _CHECKSUMS
     + """
         SELECT doc_id AS file_id, 'adler32' AS algo, printf('%08x', (hi * 65536 + lo)::BIGINT) AS hash

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # checkpoints of a stream's batches go when nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # file contents travel to Python in batches of bounded bytes, not rows
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",

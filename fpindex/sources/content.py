@@ -64,7 +64,7 @@ def digest_stored(
                 digests, error = [], None
                 try:
                     digests = list(zip(wanted, hex_digests(_chunks(row["uri"], size), wanted)))
-                except OSError as problem:
+                except (OSError, pa.ArrowException) as problem:
                     error = str(problem)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.constants import INDEX_VALUE_LENGTH, KEY_PREFIX, KEY_UPDATED_AT, PENDING_PREFIX
+from fpindex.constants import (
+    HEX_LENGTH,
+    INDEX_VALUE_LENGTH,
+    KEY_PREFIX,
+    KEY_UPDATED_AT,
+    PACKED_MAX_BYTES,
+    PENDING_PREFIX,
+)
 from fpindex.functions import codec
 from fpindex.operators.wide import wide_index
 
@@ -86,12 +93,37 @@ def _is_hash_key(key: Column) -> Column:
     return key.startswith(KEY_PREFIX) & (key != KEY_UPDATED_AT)
 
 
-def import_eav(eav: DataFrame) -> DataFrame:
-    """Index rows of the key/value index (values as stored, so at most 63 long)."""
-    return eav.filter(_is_hash_key(F.col("meta_key"))).select(
-        "file_id",
-        codec.algo_from_key(F.col("meta_key")).alias("algo"),
-        F.col("meta_value_string").alias("hash"),
+def _eav_hashes(eav: DataFrame, documents: DataFrame | None) -> DataFrame:
+    """Hash rows of the key/value index with ``hash``: the full value, or null if it is nowhere.
+
+    Stored values are cut to 63 characters, so a document's value comes first.
+    """
+    keys = eav.filter(_is_hash_key(F.col("meta_key"))).withColumn(
+        "algo", codec.algo_from_key(F.col("meta_key"))
+    )
+    stored = F.col("meta_value_string")
+    if documents is None:
+        value = stored
+    else:
+        keys = keys.join(documents.select("file_id", "json"), "file_id", "left")
+        value = F.coalesce(extract_authoritative(F.col("json"), F.col("meta_key"))["hash"], stored)
+    length = F.lit(None).cast("int")
+    for algo, n in HEX_LENGTH.items():
+        length = F.when(F.col("algo") == algo, n).otherwise(length)
+    return keys.withColumn("hash", F.when(F.length(value) == length, value))
+
+
+def import_eav(eav: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Index rows of the key/value index, full hashes only; see :func:`quarantine_eav`."""
+    return _eav_hashes(eav, documents).filter("hash IS NOT NULL").select("file_id", "algo", "hash")
+
+
+def quarantine_eav(eav: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Hash rows whose full value is neither in the index nor in a document."""
+    return (
+        _eav_hashes(eav, documents)
+        .filter("hash IS NULL")
+        .select("file_id", "meta_key", "meta_value_string")
     )
 
 
@@ -125,13 +157,21 @@ def lookup_truncated(
     return import_eav_full(rows, documents).filter(F.col("hash") == value)
 
 
-def export_packed(index: DataFrame) -> DataFrame:
-    """Packed string of every file in the index."""
+def export_packed(index: DataFrame, max_bytes: int | None = PACKED_MAX_BYTES) -> DataFrame:
+    """Packed string of every file in the index; ``max_bytes=None`` packs all pairs."""
     return wide_index(index).select(
-        "file_id", codec.pack_checksums(F.col("hashes")).alias("checksum")
+        "file_id", codec.pack_checksums(F.col("hashes"), max_bytes).alias("checksum")
     )
 
 
+def packed_dropped(index: DataFrame, max_bytes: int = PACKED_MAX_BYTES) -> DataFrame:
+    """Index rows that :func:`export_packed` leaves out because they do not fit."""
+    wide = wide_index(index)
+    kept = codec.parse_checksums(codec.pack_checksums(F.col("hashes"), max_bytes))
+    left_out = F.filter(codec.canonical_pairs(F.col("hashes")), lambda p: ~F.map_contains_key(F.col("kept"), p["algo"]))
+    return wide.withColumn("kept", kept).select("file_id", F.inline(left_out))
+
+
 def export_eav(index: DataFrame, state: DataFrame) -> DataFrame:
     """Key/value rows of the index and the state."""
     none = F.lit(None)

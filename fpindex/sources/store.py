@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fpindex import schemas
+from fpindex.constants import PACKED_MAX_BYTES
 from fpindex.functions import codec
 from fpindex.operators.wide import wide_index
 
@@ -53,7 +54,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_packed_mirror(
-    files: DataFrame, index: DataFrame, keep_additional: bool = False
+    files: DataFrame,
+    index: DataFrame,
+    keep_additional: bool = False,
+    max_bytes: int | None = PACKED_MAX_BYTES,
 ) -> DataFrame:
     """Inventory whose packed column mirrors the index.
 
@@ -62,7 +66,7 @@ def with_packed_mirror(
     """
     hashes = wide_index(index).withColumnRenamed("file_id", "fileid")
     packed = codec.rewrite_packed(
-        codec.canonical_pairs(F.col("hashes")), F.col("checksum"), keep_additional
+        codec.canonical_pairs(F.col("hashes")), F.col("checksum"), keep_additional, max_bytes
     )
     return files.join(hashes, "fileid", "left").select(
         *[c for c in files.columns if c != "checksum"],

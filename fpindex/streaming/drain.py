@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fpindex.constants import ALGOS, BROADCAST_PLAN_ROWS
-from fpindex.operators.drain import drain, drained_index, drained_state
+from fpindex.operators.drain import drain, drained_files, drained_index, drained_state
 from fpindex.operators.joins import fits, keep_ids
 from fpindex.operators.pending import clear_index, copy_checksums
 from fpindex.operators.rehash import Content
@@ -23,9 +23,13 @@ OUTCOME = ["file_id", "updated_at", "next_pending", "hashes", "mode", "success",
 
 @dataclass(frozen=True)
 class Tables:
-    """Tables as of the start of the stream; ``files`` has ``owner``."""
+    """State and index as of the start of the stream; ``files`` has ``owner``.
 
-    files: DataFrame
+    Given as a function, the inventory is read anew for every batch, so that
+    files younger than the stream are found.
+    """
+
+    files: DataFrame | Callable[[], DataFrame]
     state: DataFrame
     index: DataFrame
 
@@ -53,6 +57,13 @@ def current_tables(spark: SparkSession, tables: Tables, out: str, before: int |
     return drained_state(tables.state, outcomes), drained_index(tables.index, outcomes)
 
 
+def current_files(spark: SparkSession, tables: Tables, out: str, before: int | None = None) -> DataFrame:
+    """Inventory whose packed column follows all outcomes up to a batch."""
+    files = tables.files() if callable(tables.files) else tables.files
+    outcomes = read_outcomes(spark, out, before)
+    return files if outcomes is None else drained_files(files, outcomes)
+
+
 def with_copied_checksums(files: DataFrame, events: DataFrame, few: bool) -> DataFrame:
     """Inventory in which copied files have the packed checksums of their sources.
 
@@ -142,8 +153,9 @@ def start_drain(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state, index = current_tables(spark, tables, out, before=batch_id)
+        files = current_files(spark, tables, out, before=batch_id)
         outcome = process_batch(
-            batch, state, index, tables.files, rules, content, now(), lazy, algos
+            batch, state, index, files, rules, content, now(), lazy, algos
         )
         outcome.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         quarantine_events(batch).write.mode("overwrite").parquet(

@@ -58,29 +58,43 @@ def usable(events: DataFrame) -> DataFrame:
     )
 
 
-def quarantine_events(events: DataFrame) -> DataFrame:
-    """Events of known kinds that cannot be applied."""
-    return events.filter(
-        F.col("kind").isin(list(KINDS)) & (F.col("file_id").isNull() | F.col("ts").isNull())
-    )
+def quarantine_events(events: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Events of known kinds that cannot be applied.
+
+    With an inventory these are also the events of files that are not in it,
+    except deletions.
+    """
+    known = F.col("kind").isin(list(KINDS))
+    broken = F.col("file_id").isNull() | F.col("ts").isNull()
+    if files is None:
+        return events.filter(known & broken)
+    there = files.select(F.col("fileid").alias("file_id")).distinct().withColumn("_there", F.lit(True))
+    unplaced = F.col("_there").isNull() & (F.col("kind") != "deleted")
+    return events.join(there, "file_id", "left").filter(known & (broken | unplaced)).drop("_there")
 
 
 def locate_events(events: DataFrame, files: DataFrame) -> DataFrame:
     """Path and owner for events that come without them.
 
     Only the last event per file and kind matters to the fold, so events are
-    reduced to those before they meet the inventory.
+    reduced to those before they meet the inventory. Of files that are gone
+    from it only the deletion stays, without place; it clears them. The rest
+    is in :func:`quarantine_events`.
     """
     last = events.groupBy("file_id", "kind").agg(
         F.max(F.struct("ts", "event_id", "source_file_id")).alias("e")
     )
-    places = files.select(F.col("fileid").alias("file_id"), "path", "owner")
-    return last.select("file_id", "kind", "e.*").join(places, "file_id")
+    places = files.select(
+        F.col("fileid").alias("file_id"), "path", "owner", F.lit(True).alias("_there")
+    )
+    located = last.select("file_id", "kind", "e.*").join(places, "file_id", "left")
+    return located.filter(F.col("_there") | (F.col("kind") == "deleted")).drop("_there")
 
 
-def _effects(kind: Column, mode: Column) -> tuple[Column, Column, Column]:
+def _effects(kind: Column, mode: Column, gone: Column) -> tuple[Column, Column, Column]:
     written, created = kind == "written", kind == "created"
-    deleted = (kind == "deleted") & mode.isNotNull() & (mode != MODE_OFF)
+    # no rule can keep the hashes of a file that has no place
+    deleted = (kind == "deleted") & (gone | (mode.isNotNull() & (mode != MODE_OFF)))
     clears = (
         (written & mode.isin(MODE_FORCE, MODE_LAZY)) | (created & (mode == MODE_FORCE)) | deleted
     )
@@ -110,7 +124,9 @@ def fold_events(
     watermark no event is ever too late.
     """
     ruled = match_rules(usable(events), rules)
-    clears, if_hashed, if_bare = _effects(F.col("kind"), F.col("rule_mode"))
+    clears, if_hashed, if_bare = _effects(
+        F.col("kind"), F.col("rule_mode"), F.col("path").isNull()
+    )
 
     def at(condition: Column, effect: Column) -> Column:
         return F.max(F.when(condition, F.struct("ts", "event_id", effect.alias("effect"))))

@@ -99,7 +99,12 @@ def test_lookup(store, rows):
         (256, "sha1", "copy.pdf"),
         (42, "sha1", "report.pdf"),
     ]
-    assert store.find_by_hash("abc123", limit=0).count() == 1
+    first = store.find_by_hash("abc123", limit=1).collect()
+    assert len(first) == 1 and first[0]["has_more"]
+    every = store.find_by_hash("abc123", limit=None).collect()
+    assert len(every) == 3 and not any(r["has_more"] for r in every)
+    with pytest.raises(ValueError):
+        store.find_by_hash("abc123", limit=0)
     assert store.find_by_hash("abc123", algo="md5").count() == 0
     assert rows(store.find_by_hash("abc123", user="admin").select("fileid")) == [(108,), (42,)]
     with pytest.raises(ValueError):
@@ -123,7 +128,7 @@ def test_batch_lookup_and_search(spark, store, rows):
         [("sha256:" + "A" * 63 + "1",), ("not-a-hash",), ("md5:" + "a" * 63 + "2",)], "term string"
     )
     assert rows(store.search(terms).select("fileid")) == [(108,), (42,)]
-    many = lookup.find_by_hashes(store.index, store.files, store.storages, probes, few=False)
+    many = lookup.find_by_hashes(store.index, store.files, store.storages, probes)
     assert rows(many) == rows(store.find_by_hashes(probes))
 
 
@@ -168,8 +173,8 @@ def test_same_hash_for_few_and_many_ids(spark, rows):
     index = skewed_index(spark, 400)
     for condition in ("file_id % 7 = 0", "file_id = 3", "true"):
         ids = index.filter(condition)
-        few = dups.same_hash(index, ids, few=True)
-        many = dups.same_hash(index, ids, few=False, hot_rows=20)
+        few = dups.same_hash(index, ids)
+        many = dups.same_hash(index, ids, hot_rows=20)
         assert rows(few) == rows(many) and few.count()
 
 

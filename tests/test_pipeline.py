@@ -292,3 +292,42 @@ def test_users_cannot_recalculate_foreign_files(world):
     assert store.recalc([1], user="v").first()["error"] == ERR_NOT_FOUND
     assert {r["file_id"] for r in store.generate().collect()} == {1}
     assert store.seed().count() == 1
+
+
+def test_old_packed_hashes_do_not_come_back(world, spark):
+    """A drain replaces the packed column, so that the next one cannot take old hashes for fresh ones."""
+    world.file(1, checksum="SHA1:old", content=b"new").file(2, checksum="MD5:x", content=None)
+    world.state_row(1, 0, "force").state_row(2, 0, "missing")
+    rules = []
+    outcome = drains.drain(world.state, world.files, world.index, rules, world.content, 200)
+    state, index, outcome = drains.settle(world.state, world.index, outcome)
+    files = drains.drained_files(world.files, outcome)
+    packed = {r["fileid"]: r["checksum"] for r in files.collect()}
+    assert f"SHA1:{sha1(b'new')}" in packed[1] and packed[2] == "MD5:x"
+    marked = pending.mark_pending(state, spark.createDataFrame([(1, "missing")], "file_id long, mode string"))
+    again = drains.drain(marked, files, index, rules, world.content, 300).filter("file_id = 1").first()
+    assert again["success"] and again["hashes"]["sha1"] == sha1(b"new")
+
+
+def test_cleared_files_have_an_empty_packed_column(world):
+    world.file(1, checksum="SHA1:old").state_row(1, 50, "lazy")
+    outcome = drains.drain(world.state, world.files, world.index, [], world.content, NOW)
+    assert drains.drained_files(world.files, outcome).first()["checksum"] == ""
+
+
+def test_rebuild_keeps_the_seeds_it_does_not_drain(world, rows):
+    for i in range(5):
+        world.file(i)
+    outcome = drains.rebuild(world.files, world.state, world.index, [], world.content, NOW, batch=2)
+    state = drains.rebuilt_state(world.files, world.state, outcome)
+    assert [r["pending_mode"] for r in state.orderBy("file_id").collect()] == [None, None, "new", "new", "new"]
+
+
+def test_several_marks_of_a_file(world, spark):
+    world.state_row(1, 0).state_row(2, 0)
+    marks = [(1, "new", 1), (1, "force", 2), (1, "auto", 3), (2, "lazy", 5), (2, "missing", 4)]
+    timed = spark.createDataFrame(marks, "file_id long, mode string, ts long")
+    got = {r["file_id"]: r["pending_mode"] for r in pending.mark_pending(world.state, timed).collect()}
+    assert got == {1: "auto", 2: "lazy"}
+    got = {r["file_id"]: r["pending_mode"] for r in pending.mark_pending(world.state, timed.drop("ts")).collect()}
+    assert got == {1: "force", 2: "missing"}

@@ -39,13 +39,14 @@ def test_json_documents(spark, rows):
 
 
 def test_key_value_rows(spark, rows):
-    index = spark.createDataFrame([(1, "sha1", "a"), (1, "sha512", "b" * 128)], INDEX)
+    sha1 = "a" * 40
+    index = spark.createDataFrame([(1, "sha1", sha1), (1, "sha512", "b" * 128)], INDEX)
     state = spark.createDataFrame([(1, 9, "auto"), (2, 0, None)], STATE)
     eav = metadata.export_eav(index, state)
     assert rows(eav) == rows(
         spark.createDataFrame(
             [
-                (1, "file-checksum-sha1", "a", None),
+                (1, "file-checksum-sha1", sha1, None),
                 (1, "file-checksum-sha512", "b" * 63, None),
                 (1, "file-checksum-updated_at", "pending:auto", 9),
                 (2, "file-checksum-updated_at", None, 0),
@@ -54,9 +55,12 @@ def test_key_value_rows(spark, rows):
         )
     )
     assert rows(metadata.import_eav_state(eav)) == rows(state)
-    assert rows(metadata.import_eav(eav)) == [(1, "sha1", "a"), (1, "sha512", "b" * 63)]
+    assert rows(metadata.import_eav(eav)) == [(1, "sha1", sha1)]
+    assert rows(metadata.quarantine_eav(eav)) == [(1, "file-checksum-sha512", "b" * 63)]
     documents = metadata.export_json(index, state)
     assert rows(metadata.import_eav_full(eav, documents)) == rows(index)
+    assert rows(metadata.import_eav(eav, documents)) == rows(index)
+    assert metadata.quarantine_eav(eav, documents).count() == 0
     assert rows(metadata.import_json(documents)) == rows(index)
     assert json.loads(documents.filter("file_id = 2").first()["json"]) == {
         "file-checksum-updated_at": {"value": "0", "type": "int", "etag": "", "indexed": True, "editPermission": 0}

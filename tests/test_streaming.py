@@ -116,6 +116,20 @@ def test_located_events_fold_alike(spark, rows):
     assert rows(folding.fold_events(located, RULES)) == rows(folding.fold_events(df, RULES))
 
 
+def test_deletions_of_files_that_are_gone_clear_them(spark):
+    events = [
+        (1, T0, "written", 1, None, None, None), (2, T0, "deleted", 1, None, None, None),
+        (3, T0, "written", 2, None, None, None), (4, T0, "deleted", 3, None, None, None),
+    ]
+    df = spark.createDataFrame(events, FILE_EVENTS)
+    files = spark.createDataFrame([(3, "/keep/x", "u")], "fileid long, path string, owner string")
+    rules = [Rule("off", mode="off")]
+    located = folding.locate_events(df, files)
+    cleared = {r["file_id"]: r["cleared"] is not None for r in folding.fold_events(located, rules).collect()}
+    assert cleared == {1: True, 3: False}
+    assert sorted(r["event_id"] for r in folding.quarantine_events(df, files).collect()) == [1, 3]
+
+
 def test_bad_events_are_set_aside(spark):
     events = [(1, T0, "written", None, None, "/x", "u"), (2, None, "deleted", 1, None, "/x", "u"), (3, T0, "odd", None, None, "/x", "u")]
     df = spark.createDataFrame(events, FILE_EVENTS)
