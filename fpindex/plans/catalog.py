@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fpindex.constants import ALGOS
 from fpindex.functions import codec, digests, globs, paths
+from fpindex.functions.sql import register_functions
 from fpindex.operators import drain as drains
 from fpindex.operators import duplicates as dups
 from fpindex.operators import generate as gen
@@ -123,6 +124,14 @@ def same_hash_user(fx):
     )
 
 
+@query
+def same_hash_of(fx):
+    """Neighbours of the first file of the largest group."""
+    index = fx.index("sha1", "md5", "sha256")
+    largest = dups.duplicate_groups(index, "sha1").orderBy(*dups.group_order()).first()
+    return dups.same_hash_of(index, largest["first_file_id"] if largest else -1)
+
+
 @query
 def same_hash_counts(fx):
     return dups.same_hash_counts(fx.index("sha1", "md5", "sha256"))
@@ -517,6 +526,30 @@ def evaluate_rules_capped(fx):
     return ruling.cap_marks(evaluated, 100).select("file_id", "rule_id", "mode")
 
 
+@query
+def process_rule(fx):
+    return ruling.process_rule(fx.owned_files, RULES, fx.state, "r3")
+
+
+# -- SQL functions -------------------------------------------------------------
+
+
+@query
+def sql_functions(fx):
+    register_functions(fx.documents.sparkSession)
+    packed = "concat('SHA1:', sha1(text), ' MD5:', md5(text))"
+    return fx.documents.selectExpr(
+        "doc_id",
+        "content_digest(CAST(text AS BINARY), 'SHA256') AS sha256",
+        "content_digest(CAST(text AS BINARY), 'whirlpool') AS unknown",
+        "glob_match(concat('files/', lang, '/', source), '**/e?/src*') AS matches",
+        f"parse_checksums({packed})['md5'] AS parsed",
+        "pack_checksums(map('md5', md5(text), 'sha1', sha1(text))) AS packed",
+        "parse_hash_term(concat('no term ', md5(text))).hash AS no_term",
+        "parse_hash_term(concat('sha1:', upper(sha1(text)))).hash AS term",
+    )
+
+
 # -- queue and hashing ---------------------------------------------------------
 
 

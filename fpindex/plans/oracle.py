@@ -359,6 +359,13 @@ _BODIES: dict[str, str] = {
         FROM i JOIN owned f ON f.fileid = i.file_id AND f.storage_id = 'home::src8'
         WHERE EXISTS (SELECT 1 FROM i o JOIN state s ON s.file_id = o.file_id
                       WHERE o.algo = i.algo AND o.hash = i.hash AND o.file_id <> i.file_id)""",
+    "same_hash_of": """
+        , groups AS (SELECT hash, count(*) AS n, min(file_id) AS first FROM idx WHERE algo = 'sha1' GROUP BY hash),
+        largest AS (SELECT first FROM groups WHERE n > 1 ORDER BY n DESC, hash LIMIT 1)
+        SELECT i.algo, i.hash AS hash_value, i.file_id
+        FROM idx i, largest l
+        WHERE i.file_id <> l.first AND (i.algo, i.hash) IN (
+            SELECT (algo, hash) FROM idx WHERE file_id = (SELECT first FROM largest))""",
     "same_hash_counts": """
         SELECT i.file_id, i.algo, i.hash AS hash_value, g.n - 1 AS other_files
         FROM idx i JOIN (SELECT algo, hash, count(*) AS n FROM idx GROUP BY algo, hash) g
@@ -576,6 +583,16 @@ _BODIES: dict[str, str] = {
         FROM ruled f JOIN rule_modes m USING (rule_id) LEFT JOIN state s ON s.file_id = f.fileid
         WHERE NOT {_FRESH}
         QUALIFY row_number() OVER (PARTITION BY f.rule_id ORDER BY f.fileid) <= 100""",
+    "process_rule": f"""
+        SELECT f.fileid AS file_id, f.rule_id, m.rule_mode AS mode, NOT {_FRESH} AS stale
+        FROM ruled f JOIN rule_modes m USING (rule_id) LEFT JOIN state s ON s.file_id = f.fileid
+        WHERE f.rule_id = 'r3'""",
+    "sql_functions": """
+        SELECT doc_id, sha256(text) AS sha256, CAST(NULL AS VARCHAR) AS unknown,
+               lang IN ('en', 'es') AS matches, md5(text) AS parsed,
+               concat('SHA1:', sha1(text), ' MD5:', md5(text)) AS packed,
+               CAST(NULL AS VARCHAR) AS no_term, sha1(text) AS term
+        FROM documents""",
     "stale_files": f"""
         SELECT f.fileid AS file_id, f.mtime, s.updated_at
         FROM files f LEFT JOIN state s ON s.file_id = f.fileid WHERE NOT {_FRESH}""",
