@@ -267,7 +267,8 @@ class _Run:
             self.rows.filter("set_key IS NOT NULL")
             .groupBy("set_key")
             .agg(
-                F.min("id").alias("id"),
+                # one of its rows, of the smallest id if there is any
+                F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("row"),
                 F.first("n_shingles").alias("n_shingles"),
                 F.first("bands").alias("bands"),
                 F.first("signature").alias("signature"),
@@ -304,9 +305,12 @@ class _Run:
 
     def sets(self, keys: DataFrame) -> DataFrame:
         """Full sets of the classes in ``keys(set_key)``, from one text of each."""
-        ids = self.classes.join(keys, "set_key", "left_semi").select("id").distinct()
+        rows = self.classes.join(keys, "set_key", "left_semi").select(
+            F.col("row.id").alias("row_id"), F.col("row.text_key").alias("row_key")
+        )
+        same = F.col("id").eqNullSafe(F.col("row_id")) & (F.xxhash64("text") == F.col("row_key"))
         return (
-            self.texts.join(ids, "id", "left_semi")
+            self.texts.join(rows, same, "left_semi")
             .mapInArrow(_set_reader(self.words), "set_key binary, members binary")
             .join(keys, "set_key", "left_semi")
             .dropDuplicates(["set_key"])
@@ -404,7 +408,7 @@ def near_duplicates(
     run = _Run(docs, id, text, words, percent)
     roots = run.components()
     grouped = (
-        run.classes.select("set_key", "id")
+        run.classes.select("set_key", F.col("row.id").alias("id"))
         .join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
         .withColumn("root", F.coalesce("root", "set_key"))
     )

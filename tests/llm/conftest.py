@@ -17,7 +17,7 @@ def hard_docs(spark):
     rows = [
         (1, base), (2, base), (3, near), (3, near), (4, None), (5, ""), (6, " \n\t "),
         (7, long_text(30_000)), (8, "one two"), (9, "ONE  two"), (10, "été ▁ 日本語 \U0001f600 |||"),
-        (None, base), (None, "other words entirely for a row that has no id at all"), (11, "12 34 !!"),
+        (None, base.replace(base.split()[5], "other", 1)), (None, "other words entirely for a row that has no id at all"), (11, "12 34 !!"),
         (8, "another text under an id that is there already, long enough to differ"),
     ]
     extra = "".join(f", {c} string" for c in CLASHING)
