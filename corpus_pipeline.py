@@ -31,6 +31,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with lines before them until no column of ``docs`` has them."""
+    lines = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    return [lines + n for n in names]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity score; learnt from all labels of documents that are there."""
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
@@ -47,26 +53,23 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id, once."""
     judged = near_duplicates(docs, words=5, percent=80)
-    kept = judged.filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "group_key"
-    )
+    id, key, text_key, turn = _names(docs, "id", "key", "text_key", "turn")
     # rows that share an id may be in one group; it needs one of them
-    first = Window.partitionBy("group_key").orderBy("_key")
-    kept = kept.withColumn("_turn", F.row_number().over(first))
-    kept = kept.filter("_turn = 1 OR group_key IS NULL").select("_id", "_key").distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    joined = keyed.join(kept, same, "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(0)))
-    return joined.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("group_key").orderBy("text_key"))
+    kept = judged.filter("kept").withColumn("turn", first)
+    kept = kept.filter("turn = 1 OR group_key IS NULL").select("doc_id", "text_key").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(id)) & (F.col(text_key) == F.col(key))
+    joined = docs.withColumn(text_key, F.xxhash64("text")).join(kept.toDF(id, key), same, "left_semi")
+    once = F.row_number().over(Window.partitionBy("doc_id", text_key).orderBy(F.lit(0)))
+    return joined.withColumn(turn, once).filter(F.col(turn) == 1).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that is nearly a benchmark item."""
     leaks = find_leaks(docs, _read(spark, sf_dir, "benchmark"), words=5, percent=80)
-    leaks = leaks.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(leaks, same, "left_anti")
+    id, key = _names(docs, "id", "key")
+    same = F.col("doc_id").eqNullSafe(F.col(id)) & (F.xxhash64("text") == F.col(key))
+    return docs.join(leaks.select("doc_id", "text_key").distinct().toDF(id, key), same, "left_anti")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

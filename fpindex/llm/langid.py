@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.llm.subwords import ngrams, words_in
+from fpindex.llm.subwords import SLICE, mean_over_ngrams, ngrams, words_in
 from fpindex.llm.texts import BATCH_BYTES, Chunks, chunks_of, segment_ids, small_batches
 
 LOW, HIGH, BUCKETS = 1, 4, 1 << 16
@@ -77,14 +77,21 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", BATCH_BYTES // 2):
         chunks = chunks_of(batch.column("text"))
         words = words_in(chunks.values)
-        ids, of = ngrams(words, LOW, HIGH, BUCKETS)
         letters, script = letters_and_scripts(words)
         useful = letters > 0
         langs = np.array(batch.column("lang").to_pylist(), object)
         owner = segment_ids(chunks.bounds)
-        for lang in sorted(set(langs)):
-            count = np.bincount(chunks.codes[(langs == lang)[owner]], minlength=len(words)) * useful
-            grams = np.bincount(ids, count[of], BUCKETS) if len(ids) else np.zeros(BUCKETS)
+        counts = {
+            lang: np.bincount(chunks.codes[(langs == lang)[owner]], minlength=len(words)) * useful
+            for lang in sorted(set(langs))
+        }
+        totals = {lang: np.zeros(BUCKETS) for lang in counts}
+        for a in range(0, len(words), SLICE):
+            ids, of = ngrams(words[a : a + SLICE], LOW, HIGH, BUCKETS)
+            for lang, count in counts.items():
+                totals[lang] += np.bincount(ids, count[a + of], BUCKETS)
+        for lang, count in counts.items():
+            grams = totals[lang]
             by_script = np.bincount(script, count * letters, OTHER + 1) if len(words) else np.zeros(OTHER + 1)
             values = np.concatenate([by_script[::-1], grams])
             features = np.arange(-OTHER - 1, BUCKETS)
@@ -129,11 +136,8 @@ def word_scores(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]
     The mean over the n-grams of a word counts once per letter. Languages not
     written in its script are ruled out, if any is; words without letters say nothing.
     """
-    ids, of = ngrams(words, LOW, HIGH, BUCKETS)
     letters, script = letters_and_scripts(words)
-    n = np.bincount(of, minlength=len(words)).clip(1)
-    out = np.stack([np.bincount(of, row[ids], len(words)) for row in model.logs], 1)
-    out *= (letters / n)[:, None]
+    out = mean_over_ngrams(words, LOW, HIGH, model.logs) * letters[:, None]
     written = model.written[script]
     ruled_out = written.any(1, keepdims=True) & ~written & (letters > 0)[:, None]
     return np.where(ruled_out, out - 1e6, out), letters

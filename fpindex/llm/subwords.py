@@ -7,6 +7,8 @@ import numpy as np
 from fpindex.llm.texts import WHITE, mixed, word_of
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose n-grams are held at once.
+SLICE = 1 << 15
 
 
 def words_in(chunks: list[bytes]) -> list[str]:
@@ -43,3 +45,18 @@ def ngrams(words: list[str], low: int, high: int, buckets: int) -> tuple[np.ndar
         ids.append((value[wanted] % np.uint64(buckets)).astype(np.int64))
         of.append(owner[place[wanted]])
     return np.concatenate(ids), np.concatenate(of)
+
+
+def mean_over_ngrams(words: list[str], low: int, high: int, tables: np.ndarray) -> np.ndarray:
+    """For each word the means of the entries of its n-grams in each of the tables.
+
+    Words are worked on in slices: their n-grams take much more room than they do.
+    """
+    out = np.zeros((len(words), len(tables)))
+    for a in range(0, len(words), SLICE):
+        part = words[a : a + SLICE]
+        ids, of = ngrams(part, low, high, tables.shape[1])
+        n = np.bincount(of, minlength=len(part)).clip(1)
+        for i, table in enumerate(tables):
+            out[a : a + SLICE, i] = np.bincount(of, table[ids], len(part)) / n
+    return out

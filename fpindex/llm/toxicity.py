@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.llm.subwords import has_word, ngrams, words_in
+from fpindex.llm.subwords import has_word, mean_over_ngrams, ngrams, words_in
 from fpindex.llm.texts import BATCH_BYTES, chunks_of, segment_ids, segment_sums, small_batches
 
 LOW, HIGH, BUCKETS = 3, 5, 1 << 18
@@ -137,10 +137,9 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     out = []
     for batch in small_batches(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t", BATCH_BYTES // 2):
         chunks = chunks_of(batch.column("t"))
-        ids, of = ngrams(words_in(chunks.values), LOW, HIGH, BUCKETS)
         n = len(chunks.values)
         present = has_word(chunks.values)
-        each = np.bincount(of, model.evidence[ids], n) / np.bincount(of, minlength=n).clip(1)
+        each = mean_over_ngrams(words_in(chunks.values), LOW, HIGH, model.evidence[None])[:, 0]
         each = np.where(present, each, 0.0)
         total = segment_sums(each[chunks.codes] if n else np.zeros(0), chunks.bounds)
         words = segment_sums(present[chunks.codes] if n else np.zeros(0), chunks.bounds)
