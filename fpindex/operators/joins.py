@@ -22,16 +22,18 @@ def spread_join(
     on: str | Sequence[str],
     spread_by: str,
     how: str = "inner",
-    copies: int = SPREAD,
+    copies: int | None = None,
 ) -> DataFrame:
     """Join a possibly skewed side with a much smaller one that is unique on ``on``.
 
-    Rows of a hot key are dealt over ``copies`` tasks by ``spread_by``; the small
-    side is repeated that often. If Catalyst sees that the small side fits its
+    Rows of a hot key are dealt over ``copies`` tasks by ``spread_by``, by default
+    an eighth of the shuffle partitions; the small side is repeated that often. If Catalyst sees that the small side fits its
     broadcast limit it still broadcasts it; nothing is forced. ``how`` may be
     inner, left, left_semi or left_anti.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    if copies is None:
+        copies = max(SPREAD, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     left = big.withColumn(_SALT, _bucket(spread_by, copies))
     right = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return left.join(right, [*keys, _SALT], how).drop(_SALT)
