@@ -354,7 +354,7 @@ class Part:
 
 def _scoring(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = kept(name, lambda: Part(model.value))
+        part = kept(name, lambda: Part({**model["plain"].value, **{k: b.value for k, b in model.items()}}))
         first = part.part == 0
         for batch in small_batches(batches, "text", _TEXT_BYTES):
             texts = batch.column("text")
@@ -459,13 +459,15 @@ def score_texts(
     for part in range(n_parts):
         state = {"depth": depth, "n_parts": n_parts, "part": part, "add": top.add, "below": top.part}
         state |= {"ends": n_docs, "total": float(n_tokens + vocabulary + 1)}
+        # one table after another, so that the driver holds no more than one
+        shared = {"plain": spark.sparkContext.broadcast(state)}
         for d in (0, *range(2, depth + 1)):
             chosen = model.filter(F.col("depth") == d).select("key", "value", "ending")
-            state[d] = _collected(chosen, "ending", n_parts, part, np.float32 if d else np.float64)
-        state["words"] = _collected(
-            counted.filter("kind = 'word'").select("key", F.col("n").alias("value")), "key", n_parts, part, np.int64
-        )
-        shared = spark.sparkContext.broadcast(state)
+            table = _collected(chosen, "ending", n_parts, part, np.float32 if d else np.float64)
+            shared[d] = spark.sparkContext.broadcast(table)
+            del table
+        counts = counted.filter("kind = 'word'").select("key", F.col("n").alias("value"))
+        shared["words"] = spark.sparkContext.broadcast(_collected(counts, "key", n_parts, part, np.int64))
         scored = rows.mapInArrow(
             _scoring(shared, uuid.uuid4().hex),
             f"doc_id {kind}, text_key long, held_out boolean, n_tokens long, n_known long,"
