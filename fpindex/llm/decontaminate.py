@@ -1,23 +1,23 @@
-"""Documents that hold benchmark items, found with SimHash windows.
-
-Windows as long as an item, in words, are cut from the documents wherever the
-two share a shingle; other windows have similarity zero. Each window gets a
-64-bit SimHash of its words. Fingerprints are cut into one block more than the
-radius, so that every pair within the radius agrees in a block and is found by
-joins on blocks. Pairs within the radius are confirmed on their shingles,
-weighted by how often they occur. All of it is DataFrame functions.
+"""Documents that hold benchmark items, found by the shingles they share.
+
+A window as long as an item, in words, is similar to it by the weighted Jaccard
+similarity of their shingles. A window that reaches the similarity holds one of
+the item's rarest shingles, as many of them as it may lose and one more; so
+these name the pairs of document and item. Each shingle that they share counts
+for a run of window starts, and the sums over these runs are the exact common
+weights of all windows of a pair. Nothing is estimated and no pair is lost. All
+of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fpindex.llm.scratch import Scratch
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BITS = 64
-#: Fingerprints up to this far apart are compared. At a similarity of 0.8 of
-#: 5-word shingles about 1 word in 45 differs, which moves about 4 bits.
-RADIUS = 15
 #: Up to so many shingles of items (some 100 MB) are broadcast; beyond, shuffled.
 BROADCAST_SHINGLES = 2_000_000
 
@@ -72,43 +72,83 @@ def blocks(fingerprint: Column, radius: int) -> Column:
     )
 
 
-def weighted_common(a: Column, b: Column) -> Column:
-    """Sum over shingles of the smaller of their two counts."""
-    count = lambda xs, s: F.size(F.filter(xs, lambda x: x == s))
-    return F.aggregate(
-        F.array_intersect(a, b),
-        F.lit(0),
-        lambda total, s: total + F.least(count(a, s), count(b, s)),
+def _shingles_by_length(hashes: Column, lengths: list[int]) -> Column:
+    """Shingles of ``k`` words, for rows with any ``k`` of ``lengths``."""
+    found = F.lit(None).cast("array<long>")
+    for k in lengths:
+        found = F.when(F.col("k") == k, shingled(hashes, k)).otherwise(found)
+    return found
+
+
+def _telling(shingles: DataFrame, percent: int) -> DataFrame:
+    """``k, shingle, item``: the rarest shingles of each item, one more than a similar window may lose."""
+    spread = shingles.groupBy("k", "shingle").agg(F.count("*").alias("items"))
+    # a window that reaches ``percent`` holds ``percent`` of the item's shingles at least
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    before = F.sum(F.size("places")).over(
+        Window.partitionBy("item").orderBy("items", "shingle").rowsBetween(Window.unboundedPreceding, -1)
     )
+    ranked = shingles.join(spread, ["k", "shingle"]).withColumn("before", F.coalesce(before, F.lit(0)))
+    return ranked.filter(F.col("before") <= F.col("n_shingles") - least).select("k", "shingle", "item")
 
 
-def _windows(docs: DataFrame, items: DataFrame, k: int, small: bool) -> DataFrame:
-    """Distinct windows of ``docs`` that share a shingle with an item of their length."""
-    anchors = items.filter(F.col("k") == k).select(
-        F.posexplode("shingles").alias("q", "shingle"), F.col("n_words").alias("n")
+def _windows(hits: DataFrame, shingles: DataFrame, percent: int, small: bool) -> DataFrame:
+    """``doc, item, start, common, aligned, all``: common weight of windows from ``start`` on.
+
+    ``hits`` are the places of items' shingles in documents. Weights change at
+    the starts listed only. At an ``aligned`` start a shingle stands at the
+    same place in window and item.
+    """
+    near = F.broadcast if small else lambda df: df
+    pairs = hits.join(near(_telling(shingles, percent)), ["k", "shingle"]).select("doc", "k", "item").distinct()
+    shared = (
+        pairs.join(hits, ["doc", "k"])
+        .join(near(shingles), ["k", "item", "shingle"])
+        .groupBy("doc", "item", "k", "shingle")
+        .agg(
+            F.sort_array(F.collect_set("p")).alias("at"),
+            *[F.first(c).alias(c) for c in ("places", "n_words", "n_shingles", "n_doc")],
+        )
+    )
+    pair = Window.partitionBy("doc", "item")
+    most = F.sum(F.least(F.size("at"), F.size("places"))).over(pair)
+    last = F.greatest(F.lit(0), F.col("n_doc") - F.col("n_words"))
+    either = F.least("n_doc", "n_words") - F.col("k") + 1 + F.col("n_shingles")
+
+    def change(start: Column, by: int, aligned: int) -> Column:
+        return F.struct(start.cast("int").alias("start"), F.lit(by).alias("by"), F.lit(aligned).alias("aligned"))
+
+    # a place counts in windows that reach it, up to that of as many places of its shingle as the item has
+    begins = F.transform(
+        "at",
+        lambda p, i: change(
+            F.greatest(
+                F.lit(0),
+                p - F.col("n_shingles") + 1,
+                F.coalesce(F.get("at", i - F.size("places")) + 1, F.lit(0)),
+            ),
+            1,
+            0,
+        ),
     )
-    anchors = anchors.distinct()
-    cut = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("hashes") - F.col("n")))
-    key = ["doc_id", "text_key"]
-    if small:
-        found = docs.select(
-            *key, "hashes", F.posexplode(shingled(F.col("hashes"), k)).alias("p", "shingle")
-        ).join(F.broadcast(anchors), "shingle")
-    else:
-        hits = (
-            docs.select(*key, F.posexplode(shingled(F.col("hashes"), k)).alias("p", "shingle"))
-            .join(anchors, "shingle")
-            .drop("shingle")
-            .distinct()
-            .toDF("id_", "key_", "p", "q", "n")
+    ends = F.transform("at", lambda p: change(p + 1, -1, 0))
+    aligned = F.array_distinct(
+        F.flatten(
+            F.transform(
+                "at",
+                lambda p: F.transform("places", lambda q: change(F.greatest(F.lit(0), F.least(p - q, last)), 0, 1)),
+            )
         )
-        same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))
-        found = docs.join(hits, same)
+    )
     return (
-        found.select(*key, F.col("n"), cut.cast("int").alias("start"), "hashes")
-        .withColumn("hashes", F.expr("slice(hashes, start + 1, n)"))
-        .dropDuplicates([*key, "n", "start"])
-        .withColumn("k", F.lit(k))
+        shared.withColumns({"most": most, "last": last, "all": either})
+        .filter(F.col("most") * 100 >= (F.col("all") - F.col("most")) * percent)
+        .select("doc", "item", "all", "last", F.explode(F.concat(begins, ends, aligned)).alias("change"))
+        .select("doc", "item", "all", "last", "change.*")
+        .filter(F.col("start") <= F.col("last"))
+        .groupBy("doc", "item", "start", "all")
+        .agg(F.sum("by").alias("by"), F.max("aligned").alias("aligned"))
+        .withColumn("common", F.sum("by").over(pair.orderBy("start")))
     )
 
 
@@ -117,7 +157,6 @@ def find_leaks(
     items: DataFrame,
     words: int = 5,
     percent: int = 80,
-    radius: int = RADIUS,
     id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
@@ -127,69 +166,56 @@ def find_leaks(
     """``doc_id, text_key, item_id, start, n_words, similarity`` of leaked items.
 
     One row per document and item whose best window reaches ``percent``: its
-    first word, and the weighted Jaccard similarity of the shingles. An item of
-    fewer than ``words`` words is one shingle. Null, empty or blank texts hold
-    nothing, and such items are nowhere. Repeated rows and items give one row
-    per id, text and item. Other columns play no part.
+    first word, and the weighted Jaccard similarity of the shingles. Of equally
+    similar windows those come first in which a shingle stands at its place in
+    the item, then the first. An item of fewer than ``words`` words is one
+    shingle. Null, empty or blank texts hold nothing, and such items are
+    nowhere. Repeated rows and items give one row per id, text and item. Other
+    columns play no part.
     """
+    scratch = Scratch(docs.sparkSession)
     n = F.size("hashes")
     prepared = (
         items.select(F.col(item_id).alias("item_id"), hashed(words_of(F.col(item_text))).alias("hashes"))
         .filter(n > 0)
-        .withColumns({"n_words": n, "k": F.least(n, F.lit(words))})
+        .withColumns({"n_words": n, "k": F.least(n, F.lit(words)), "item": F.xxhash64("hashes")})
     )
     lengths = sorted(r["k"] for r in prepared.select("k").distinct().collect())
-    by_length = F.lit(None).cast("array<long>")
-    for k in lengths:
-        by_length = F.when(F.col("k") == k, shingled(F.col("hashes"), k)).otherwise(by_length)
-    prepared = prepared.withColumns({"shingles": by_length, "print": simhash(F.col("hashes"))})
-    size = prepared.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    # items of one text are looked for once
+    ids = prepared.select("item_id", "item", "n_words").distinct()
+    shingles = scratch.store(
+        prepared.dropDuplicates(["item"])
+        .select("k", "item", "n_words", F.posexplode(_shingles_by_length(F.col("hashes"), lengths)).alias("q", "shingle"))
+        .groupBy("k", "item", "n_words", "shingle")
+        .agg(F.sort_array(F.collect_list("q")).alias("places"))
+        .withColumn("n_shingles", F.col("n_words") - F.col("k") + 1)
+    )
+    small = shingles.count() <= broadcast_shingles
     hashed_docs = docs.select(
-        F.col(id).alias("doc_id"),
-        F.xxhash64(text).alias("text_key"),
+        F.struct(F.col(id).alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("doc"),
         hashed(words_of(F.col(text))).alias("hashes"),
     )
-    columns = ["doc_id", "text_key", "n", "start", "hashes", "k"]
-    windows = None
-    for k in lengths:
-        part = _windows(hashed_docs, prepared, k, size <= broadcast_shingles).select(*columns)
-        windows = part if windows is None else windows.unionByName(part)
-    if windows is None:
-        empty = hashed_docs.filter(F.lit(False)).withColumns(
-            {"n": F.lit(0), "start": F.lit(0), "k": F.lit(0)}
-        )
-        windows, lengths = empty.select(*columns), [words]
-    by_length = F.lit(None).cast("array<long>")
-    for k in lengths:
-        by_length = F.when(F.col("k") == k, shingled(F.col("hashes"), k)).otherwise(by_length)
-    keyed = windows.withColumns({"shingles": by_length, "print": simhash(F.col("hashes"))})
-    index = prepared.select(
-        "item_id",
-        F.col("n_words").alias("n"),
-        F.col("k").alias("k_item"),
-        F.col("shingles").alias("item_shingles"),
-        F.col("print").alias("item_print"),
-        F.explode(blocks(F.col("print"), radius)).alias("block"),
-    )
-    near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
-    common = weighted_common(F.col("shingles"), F.col("item_shingles")).cast("long")
-    total = F.size("shingles") + F.size("item_shingles")
-    pair = ["doc_id", "text_key", "start", "n", "item_id"]
+    known = shingles.select("k", "shingle").distinct()
+    hits = None
+    for k in lengths or [words]:
+        mine = known.filter(F.col("k") == k)
+        part = hashed_docs.select(
+            "doc", n.alias("n_doc"), F.posexplode(shingled(F.col("hashes"), k)).alias("p", "shingle")
+        ).join(F.broadcast(mine) if small else mine, "shingle")
+        hits = part if hits is None else hits.unionByName(part)
+    windows = _windows(scratch.store(hits), shingles, percent, small)
     return (
-        keyed.withColumn("block", F.explode(blocks(F.col("print"), radius)))
-        .join(index, ["n", "block"])
-        .filter((F.col("k") == F.col("k_item")) & near)
-        .dropDuplicates(pair)
-        .select(*pair, common.alias("common"), total.cast("long").alias("all"))
+        windows.filter("aligned = 1")
         .filter(F.col("common") * 100 >= (F.col("all") - F.col("common")) * percent)
-        .withColumn("similarity", F.col("common") / (F.col("all") - F.col("common")))
-        .groupBy("doc_id", "text_key", "item_id")
-        .agg(
-            F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("best"),
-        )
+        .groupBy("doc", "item", "all")
+        .agg(F.max(F.struct("common", "aligned", (-F.col("start")).alias("s"))).alias("best"))
+        .join(F.broadcast(ids) if small else ids, "item")
+        .withColumn("similarity", F.col("best.common") / (F.col("all") - F.col("best.common")))
+        .groupBy("doc", "item_id")
+        .agg(F.max(F.struct("similarity", "best.s", F.col("n_words").alias("n"))).alias("best"))
         .select(
-            "doc_id",
-            "text_key",
+            "doc.doc_id",
+            "doc.text_key",
             "item_id",
             (-F.col("best.s")).alias("start"),
             F.col("best.n").alias("n_words"),

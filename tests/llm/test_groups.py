@@ -1,3 +1,4 @@
+import collections
 import itertools
 import re
 
@@ -125,3 +126,54 @@ def test_fingerprints_and_blocks(spark):
         assert len(r.b) == 12 and sorted(x % 12 for x in r.b) == list(range(12))
     a, b = rows[0], rows[1]
     assert bin((a.p ^ b.p) & (2**64 - 1)).count("1") > 11 or set(a.b) & set(b.b)
+
+
+def plain_leaks(docs, items, k=5):
+    """Best similarity of all windows of every document with every item, by sliding over all starts."""
+    out = {}
+    for (d, text), (i, item) in itertools.product(docs, items):
+        w, v = text.split(), item.split()
+        count = lambda x: collections.Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))
+        for start in range(max(0, len(w) - len(v)) + 1):
+            a, b = count(w[start : start + len(v)]), count(v)
+            common, both = (a & b).total(), (a | b).total()
+            if 100 * common >= 80 * both:
+                out[d, i] = max(out.get((d, i), 0), round(common / both, 6))
+    return out
+
+
+def leaks_found(spark, docs, items):
+    found = find_leaks(
+        spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    ).collect()
+    texts = dict(docs), dict(items)
+    for r in found:
+        # the start that is given is that of a window as similar as it says
+        window = " ".join(texts[0][r.doc_id].split()[r.start : r.start + r.n_words])
+        assert plain_leaks([("", window)], [("", texts[1][r.item_id])])["", ""] == round(r.similarity, 6)
+    return {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found}
+
+
+def test_leaks_with_contiguous_changes(spark):
+    """Items cut at an end or changed in one block, as far as the similarity allows."""
+    rng = np.random.default_rng(1)
+    docs, items = [], []
+    for n in (22, 31, 60, 100, 200):
+        for turn in range(40):
+            item = [f"i{n}x{turn}x{j}" for j in range(n)]
+            items.append((f"{n}.{turn}", " ".join(item)))
+            for name, most in (("end", 0), ("block", 4)):
+                lost = (n - 4) // 9 - most
+                if lost <= 0:
+                    continue
+                a = n - lost if name == "end" else n // 2
+                other = [f"o{x}" for x in rng.integers(0, 10**9, lost)]
+                text = ["before", "it", *item[:a], *other, *item[a + lost :], "and", "after"]
+                docs.append((f"{n}.{turn}.{name}", " ".join(text)))
+    want = {
+        pair: s
+        for d in docs
+        for pair, s in plain_leaks([d], [i for i in items if d[0].rpartition(".")[0] == i[0]]).items()
+    }
+    assert len(want) == len(docs)
+    assert leaks_found(spark, docs, items) == want
