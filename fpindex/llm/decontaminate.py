@@ -205,8 +205,7 @@ def find_leaks(
         hits = part if hits is None else hits.unionByName(part)
     windows = _windows(scratch.store(hits), shingles, percent, small)
     return (
-        windows.filter("aligned = 1")
-        .filter(F.col("common") * 100 >= (F.col("all") - F.col("common")) * percent)
+        windows.filter(F.col("common") * 100 >= (F.col("all") - F.col("common")) * percent)
         .groupBy("doc", "item", "all")
         .agg(F.max(F.struct("common", "aligned", (-F.col("start")).alias("s"))).alias("best"))
         .join(F.broadcast(ids) if small else ids, "item")

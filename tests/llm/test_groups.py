@@ -177,3 +177,19 @@ def test_leaks_with_contiguous_changes(spark):
     }
     assert len(want) == len(docs)
     assert leaks_found(spark, docs, items) == want
+
+
+def test_leaks_with_moved_parts(spark):
+    """Items with swapped or rotated parts, whose best window is at no shingle's own place, and items that repeat themselves."""
+    docs, items = [], []
+    for n, a in ((60, 30), (60, 12), (100, 40), (100, 50)):
+        item = [f"m{n}x{a}x{j}" for j in range(n)]
+        items.append((f"{n}.{a}", " ".join(item)))
+        around = [f"s{j}" for j in range(70)]
+        docs.append((f"{n}.{a}", " ".join([*around, *item[a:], *item[:a], *around])))
+    again = [f"r{j % 9}" for j in range(40)]
+    items.append(("again", " ".join(again)))
+    docs += [("again", " ".join(["x"] * 50 + again[3:] + again[:6] + ["x"] * 50)), ("short", " ".join(again[:37]))]
+    want = plain_leaks(docs, items)
+    assert len(want) == 6
+    assert leaks_found(spark, docs, items) == want
