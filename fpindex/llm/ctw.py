@@ -217,7 +217,7 @@ class Top:
 
 
 def _model(depth: int, add: np.ndarray, part: np.ndarray):
-    """Entries of the model: log10 of the chance of seen grams, and the chance of ones of nodes by depth."""
+    """Entries of the model: log10 of the chance of seen grams, and ``leaning`` chances of nodes by depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "ending"):
@@ -234,7 +234,7 @@ def _model(depth: int, add: np.ndarray, part: np.ndarray):
                     [
                         pa.array(np.full(len(keys), d, np.int32)),
                         pa.array(keys.view(np.int64)),
-                        pa.array(values),
+                        pa.array(leaning(values) if d else values),
                         pa.array(ending(keys >> np.uint64(8)).view(np.int64)),
                     ],
                     names=["depth", "key", "value", "ending"],
@@ -248,6 +248,17 @@ def ending(contexts: np.ndarray) -> np.ndarray:
     return contexts & np.uint64(0xFFFF)
 
 
+def leaning(one: np.ndarray) -> np.ndarray:
+    """The smaller of the chances of a one and a zero, that of a zero with a minus: exact near both ends if narrowed."""
+    return np.where(one > 0.5, one - 1, one)
+
+
+def bit_logs(leaning: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """log10 of the chances of ``bits``."""
+    small = np.abs(leaning.astype(float))
+    return np.log10(np.where((leaning < 0) == (bits == 1), 1 - small, small))
+
+
 def gram_logs(grams: np.ndarray, keys: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """log10 of the chance of each gram's byte from the chances of its eight nodes."""
     context, byte = grams >> np.uint64(8), (grams & np.uint64(255)).astype(np.int64)
@@ -326,7 +337,7 @@ class Part:
         total = np.zeros(len(grams))
         for i in range(8):
             node = (1 << i) | (byte >> (8 - i))
-            p = self.add[last, node] + self.below[last, node] * 0.5
+            p = leaning(self.add[last, node] + self.below[last, node] * 0.5)
             open_ = np.arange(len(grams))
             for d in range(self.depth, 1, -1):
                 keys, values = self.levels[d]
@@ -337,7 +348,7 @@ class Part:
                 same = keys[at] == key
                 p[open_[same]] = values[at[same]]
                 open_ = open_[~same]
-            total += np.log10(np.where((byte >> (7 - i)) & 1, p, 1 - p))
+            total += bit_logs(p, (byte >> (7 - i)) & 1)
         return total
 
     def logs(self, grams: np.ndarray) -> np.ndarray:

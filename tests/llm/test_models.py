@@ -109,6 +109,28 @@ def test_chances_of_all_bytes_add_up_to_one():
     assert ((p > 0) & (p < 1)).all()
 
 
+def test_unseen_bits_under_nodes_of_one_kind(spark):
+    """A node with 1e8 ones and no zeros, and one with zeros only: the other bit is rare but not impossible."""
+    code = lambda b: int.from_bytes(b, "big")
+    grams, counts = np.array([code(b"then"), code(b"xyz\x00")], np.uint64), [10**8, 10**8]
+    table = {"kind": ["gram"] * 2, "key": grams.view(np.int64), "n": counts, "ending": ctw.ending(grams >> np.uint64(8)).view(np.int64)}
+    order = np.argsort(table["ending"])
+    batch = pa.RecordBatch.from_pydict({k: pa.array(np.asarray(v)[order]) for k, v in table.items()})
+    add, below = np.zeros((256, 256)), np.ones((256, 256))
+    rows = [r for b in ctw._model(3, add, below)(iter([batch])) for r in b.to_pylist()]
+    entries = spark.createDataFrame([tuple(r.values()) for r in rows], "depth int, key long, value double, ending long")
+    state = {"depth": 3, "n_parts": 1, "part": 0, "add": add, "below": below, "ends": 1, "total": 1.0}
+    for d in (0, 2, 3):
+        chosen = entries.filter(f"depth = {d}")
+        state[d] = ctw._collected(chosen, "ending", 1, 0, np.float32 if d else np.float64)
+    state["words"] = {"key": np.zeros(0, np.uint64), "value": np.zeros(0, np.int64)}
+    part = ctw.Part(state)
+    # in turn: six bits at unseen nodes after a zero where only ones were, and one bit other than all others
+    got = part.logs(np.array([code(b"the\x0e"), code(b"theo"), code(b"xyz\x01")], np.uint64))
+    rare = math.log10(0.5 / 1e8)
+    assert np.allclose(got, [rare + 6 * math.log10(0.5), rare, rare], atol=0.01)
+
+
 def test_hard_rows_are_scored(hard_docs, no_docs):
     rows = ctw.score_texts(hard_docs).collect()
     assert len(rows) == hard_docs.count() and all(r.score < 0 and r.bits_per_byte > 0 for r in rows)
