@@ -25,8 +25,9 @@ SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 1200, 1 << 16
 SIZE, EPOCHS, RATE = 8, 100, 0.05
 #: Means over hundreds of words are small; the softmax sees them this much larger.
 GAIN = 100.0
-#: N-grams in fewer texts, or with shares of the labels closer than this, have no vector of their own.
-LEAST_TEXTS, LEAST_DEVIATIONS = 5, 5.0
+#: N-grams in fewer texts of the sample have no vector of their own. One whose shares
+#: of the labels differ by so many standard deviations counts half.
+LEAST_TEXTS, HALF_DEVIATIONS = 2, 5.0
 #: Shrinks the vectors in every step.
 DECAY = 1.0
 
@@ -60,10 +61,11 @@ class _Adam:
 
 
 def telling(ids: np.ndarray, of: np.ndarray, row: np.ndarray, col: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Buckets whose share of texts differs between the labels by ``LEAST_DEVIATIONS``.
+    """Weight of each bucket from 0 to 1, by how far its shares of the labels' texts are apart.
 
-    Other n-grams would only be learnt by heart. ``ids`` are the n-grams of the
-    words ``of``; ``row`` and ``col`` are the texts and words of all pairs.
+    N-grams that tell little weigh little, or they would be learnt by heart;
+    those in fewer than ``LEAST_TEXTS`` texts have 0. ``ids`` are the n-grams of
+    the words ``of``; ``row`` and ``col`` are the texts and words of all pairs.
     """
     order = np.argsort(col, kind="stable")
     texts = row[order]
@@ -83,8 +85,7 @@ def telling(ids: np.ndarray, of: np.ndarray, row: np.ndarray, col: np.ndarray, l
     share = held.sum(0) / of_label.sum()
     spread = np.sqrt(share * (1 - share) * (1 / of_label).sum()).clip(1e-12)
     z = (held[1] / of_label[1] - held[0] / of_label[0]) / spread
-    chosen = (np.abs(z) >= LEAST_DEVIATIONS) & (held.sum(0) >= LEAST_TEXTS)
-    return chosen if chosen.any() else held.sum(0) >= 1
+    return np.where(held.sum(0) >= LEAST_TEXTS, z * z / (z * z + HALF_DEVIATIONS**2), 0.0)
 
 
 def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 0) -> Model:
@@ -102,9 +103,10 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 0) -> M
     row, col = pair // max(len(words), 1), pair % max(len(words), 1)
     share = count / np.bincount(row, count, n)[row]
     per_word = np.bincount(of, minlength=len(words)).clip(1)
-    common = telling(ids, of, row, col, labels)[ids]
-    ids, of = ids[common], of[common]
+    weights = telling(ids, of, row, col, labels)
+    ids, of = ids[weights[ids] > 0], of[weights[ids] > 0]
     used, ids = np.unique(ids, return_inverse=True)
+    told = weights[used]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (SIZE, len(used)))
     softmax, bias = rng.normal(0, 0.1, (2, SIZE)), np.zeros(2)
@@ -112,7 +114,7 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 0) -> M
     target = np.stack([labels == 0, labels == 1], 1).astype(float)
     weight = (0.5 / target.mean(0))[labels.astype(int)][:, None] / n
     for _ in range(EPOCHS):
-        in_word = np.stack([np.bincount(of, v[ids], len(words)) / per_word for v in vectors])
+        in_word = np.stack([np.bincount(of, v[ids], len(words)) / per_word for v in vectors * told])
         in_text = np.stack([np.bincount(row, share * w[col], n) for w in in_word], 1) * GAIN
         logits = in_text @ softmax.T + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
@@ -120,13 +122,13 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 0) -> M
         back = (p - target) * weight
         to_text = back @ softmax * GAIN
         to_word = np.stack([np.bincount(col, share * t[row], len(words)) / per_word for t in to_text.T])
-        to_vectors = np.stack([np.bincount(ids, w[of], len(used)) for w in to_word])
+        to_vectors = np.stack([np.bincount(ids, w[of], len(used)) for w in to_word]) * told
         for step, x, grad in zip(
             steps, (vectors, softmax, bias), (to_vectors + DECAY * vectors / n, back.T @ in_text, back.sum(0))
         ):
             step.step(x, grad)
     evidence = np.zeros(BUCKETS)
-    evidence[used] = (softmax[1] - softmax[0]) @ vectors * GAIN
+    evidence[used] = (softmax[1] - softmax[0]) @ vectors * told * GAIN
     # both labels weighed the same in training
     p = min(max(prior, 1e-6), 1 - 1e-6)
     return Model(evidence, float(bias[1] - bias[0] + np.log(p / (1 - p))))

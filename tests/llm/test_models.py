@@ -169,6 +169,23 @@ def test_unseen_spellings_are_caught(spark, hard_docs, no_docs):
     assert len(none) == hard_docs.count() and {r.predicted for r in none} == {0}
 
 
+def test_rare_toxic_terms_are_learnt():
+    """120 toxic terms, one in each toxic text, so that each is in under 1% of them."""
+    rng = np.random.default_rng(1)
+    made = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 9))) for _ in range(420)]
+    toxic, plain = made[:120], made[120:]
+
+    def text(label):
+        words = list(rng.choice(plain, 60))
+        return " ".join([*words[:30], *rng.choice(toxic, label), *words[30:]])
+
+    labels = np.arange(2400) % 2
+    model = toxicity.train(pa.array([text(y) for y in labels]), labels, 0.5)
+    new = np.arange(400) % 2
+    found = toxicity.scores(model, pa.array([text(y) for y in new])) >= 0.5
+    assert found[new == 1].mean() > 0.9 and found[new == 0].mean() < 0.05
+
+
 # languages
 
 
