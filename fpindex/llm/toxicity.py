@@ -169,19 +169,20 @@ def fit(
     label, text or partner do not count; of several labels of an id the
     largest counts. Both bounds together limit what reaches the driver.
     """
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(
+        F.octet_length("text") <= text_bytes
+    )
     known = (
         labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label"))
         .filter("id IS NOT NULL AND label IN (0, 1)")
         .groupBy("id")
         .agg(F.max("label").alias("label"))
+        .join(texts.select("id"), "id", "left_semi")
     )
     order = [F.xxhash64("id"), "id"]
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = known.filter("label = 1").orderBy(*order).limit(rows)
     chosen = chosen.union(known.filter("label = 0").orderBy(*order).limit(rows))
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(
-        F.octet_length("text") <= text_bytes
-    )
     # two times ``rows`` ids at most
     sample = texts.join(F.broadcast(chosen), "id").orderBy(*order, F.xxhash64("text")).limit(2 * rows)
     table = sample.select("text", "label").toArrow()

@@ -186,6 +186,16 @@ def test_rare_toxic_terms_are_learnt():
     assert found[new == 1].mean() > 0.9 and found[new == 0].mean() < 0.05
 
 
+def test_labels_without_text_take_no_room_in_the_sample(spark):
+    docs = spark.createDataFrame(
+        [(i, ("grubnark " if i % 2 else "flower ") * 5) for i in range(20)] + [(20, None)], "doc_id long, text string"
+    )
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, rows=10)
+    found = toxicity.scores(model, pa.array(["grubnark " * 5, "flower " * 5]))
+    assert found[0] > 0.5 > found[1]
+
+
 # languages
 
 
