@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fpindex.functions.codec import let
 from fpindex.llm.ctw import score_texts
 from fpindex.llm.decontaminate import find_leaks
 from fpindex.llm.langid import identify
 from fpindex.llm.neardup import near_duplicates
 from fpindex.llm.pieces import piece_summary
+from fpindex.llm.runs import periodic_runs
 from fpindex.llm.scratch import Scratch
 from fpindex.llm.token_counts import line_sections, token_counts
 from fpindex.llm.token_store import token_checksums, write_tokens
@@ -104,3 +106,45 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every 50th vector against all others."""
     return top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """Documents, of which one in ten repeats some of its words up to its end.
+
+    With ``h`` the CRC-32 of the decimal id, texts of ``n`` words with ``h % 10 = 0``
+    have word ``a + (i - a) % p`` in place of each word ``i`` from ``a`` on, where
+    ``g = h / 10``, ``a = g % n`` and ``p = 1 + (n - a) / (3 + g % 8)``. A null id
+    changes nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        tail = lambda place: let(place[0], lambda a: let(place[1], lambda p: F.transform(
+            w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))))
+        return F.when(n > 0, F.array_join(tail(F.array(a, p)), " ")).otherwise("")
+
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words, repeated)).otherwise(F.col("text")))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, one in ten of them with a repeated tail."""
+    found = periodic_runs(with_repeated_tails(_read(spark, sf_dir, "documents")))
+    key = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["period"].alias("q")))
+    best = F.array_max(key)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-best["col2"]).alias("start"),
+        best["length"].alias("length"),
+        best["q"].alias("period"),
+        F.floor(1000 * best["length"] / best["q"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
