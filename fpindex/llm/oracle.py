@@ -151,3 +151,20 @@ p AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, row ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
        vec_id, score
 FROM p QUALIFY rank <= 5"""
+
+
+ORACLE["op12_warc"] = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+named AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+         min(page_id) OVER (PARTITION BY html) AS first,
+         array_to_string(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)), '')
+           AS payload_digest
+  FROM hashed)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM named"""

@@ -20,6 +20,7 @@ from fpindex.llm.token_store import token_checksums, write_tokens
 from fpindex.llm.topk import top_k
 from fpindex.llm.toxicity import score_toxicity
 from fpindex.llm.urls import judge_urls, parse_rule
+from fpindex.llm.warc import planned_records, read_warc, write_warc, written_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -148,3 +149,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    path = Scratch(spark).path()
+    write_warc(planned_records(_read(spark, sf_dir, "pages")), path, date="2024-01-01T00:00:00Z")
+    found = read_warc(written_files(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
