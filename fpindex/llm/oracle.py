@@ -168,3 +168,47 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM named"""
+
+
+def _codes(parts: int, entries: int, rounds: int) -> str:
+    """SQL of the vector codes: every round compares all parts with all entries."""
+    ctes = [f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x
+  FROM kept, (SELECT unnest(range({parts})) AS p)),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+  FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))"""]
+    for turn in range(rounds + 1):
+        ctes.append(f"""
+near{turn} AS MATERIALIZED (
+  SELECT vec_id, p, min({{'d': d, 'e': e}}) AS m FROM (
+    SELECT vec_id, p, e,
+           list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d
+    FROM part JOIN book{turn} USING (p)) GROUP BY ALL)""")
+        if turn < rounds:
+            ctes.append(f"""
+mean{turn} AS (
+  SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT p, e, i, CAST(sum(y) AS DOUBLE) AS s, count(*) AS n FROM (
+      SELECT p, m.e AS e, unnest(range(len(x))) AS i, unnest(x) AS y
+      FROM part JOIN near{turn} USING (vec_id, p)) GROUP BY ALL) GROUP BY ALL),
+book{turn + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(n.c, b.c) AS c FROM book{turn} b LEFT JOIN mean{turn} n USING (p, e))""")
+    return f"""
+WITH {",".join(ctes)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest"""
+
+
+ORACLE["op13_vector_codes"] = _codes(16, 64, 2)

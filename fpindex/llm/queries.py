@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fpindex.functions.codec import let
+from fpindex.llm.codes import vector_codes
 from fpindex.llm.ctw import score_texts
 from fpindex.llm.decontaminate import find_leaks
 from fpindex.llm.langid import identify
@@ -158,3 +159,9 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(planned_records(_read(spark, sf_dir, "pages")), path, date="2024-01-01T00:00:00Z")
     found = read_warc(written_files(spark, path))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 16 parts for all vectors, with codebooks of 64 entries moved twice."""
+    return vector_codes(_read(spark, sf_dir, "embeddings")).drop("computed")
