@@ -60,18 +60,3 @@ HOT_GROUP_ROWS = 1_000_000
 
 # Copies a small unique side is spread over when the other side may be skewed.
 SPREAD = 16
-
-# Most rows a (file_id, algorithm list) plan may have to be broadcast.
-BROADCAST_PLAN_ROWS = 1_000_000
-
-# Hexadecimal digits of each algorithm
-HEX_LENGTH = {
-    "sha1": 40,
-    "md5": 32,
-    "adler32": 8,
-    "crc32": 8,
-    "sha256": 64,
-    "sha512": 128,
-    "sha3-256": 64,
-    "sha3-512": 128,
-}

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from fpindex.constants import (
     ALGOS,
-    BROADCAST_PLAN_ROWS,
     MODE_AUTO,
     MODE_FORCE,
     MODE_LAZY,
@@ -30,7 +29,7 @@ from fpindex.constants import (
     MODE_NEW,
 )
 from fpindex.functions import codec
-from fpindex.operators.joins import keep_ids, plan_size
+from fpindex.operators.asked import id_filter, reduce_tables
 from fpindex.operators.pending import pending, seed_pending
 from fpindex.operators.rehash import (
     NO_HASHES,
@@ -116,7 +115,6 @@ def drain(
     lazy: str = "clear",
     batch: int | None = None,
     algos: Sequence[str] = ALGOS,
-    broadcast_rows: int = BROADCAST_PLAN_ROWS,
 ) -> DataFrame:
     """Outcome of every pending file.
 
@@ -132,12 +130,10 @@ def drain(
     queue = pending(state)
     if batch is not None:
         queue = queue.orderBy("file_id").limit(max(1, batch))
-    small, part = plan_size(queue, files, broadcast_rows)
-    if part:
-        files, index = keep_ids(files, queue, "fileid"), keep_ids(index, queue)
-    done = with_results(
-        plan_drain(queue, files, index, rules, lazy), content, algos, broadcast_rows, small
-    )
+    queue = cut_lineage(queue)
+    wanted = id_filter(queue)
+    files, index = reduce_tables(wanted, files, index)
+    done = with_results(plan_drain(queue, files, index, rules, lazy), content, algos, wanted)
     success = F.forall("results", lambda r: r["success"])
     made = F.map_from_entries(
         F.transform("results", lambda r: F.struct(r["algo"].alias("k"), r["hash"].alias("v")))
@@ -255,12 +251,11 @@ def rebuild(
     lazy: str = "clear",
     batch: int | None = None,
     algos: Sequence[str] = ALGOS,
-    broadcast_rows: int = BROADCAST_PLAN_ROWS,
 ) -> DataFrame:
     """Seed untracked files, then drain the queue; the outcome of the drain.
 
     With ``batch`` some seeds stay in the queue: store :func:`rebuilt_state`.
     """
     return drain(
-        seeded_state(files, state), files, index, rules, content, now, lazy, batch, algos, broadcast_rows
+        seeded_state(files, state), files, index, rules, content, now, lazy, batch, algos
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.constants import BROADCAST_PLAN_ROWS, MODE_AUTO, SCOPE_ALL
+from fpindex.constants import MODE_AUTO, SCOPE_ALL
 from fpindex.functions import codec
 from fpindex.functions.globs import glob_match
 from fpindex.functions.paths import relative_path
@@ -88,15 +88,12 @@ def generate_missing(
     scope: str = SCOPE_ALL,
     budget: int | None = None,
     base: str = USER_ROOT,
-    broadcast_rows: int = BROADCAST_PLAN_ROWS,
 ) -> DataFrame:
     """Hash what is missing: rows as of ``rehash`` for every candidate."""
     wanted = candidates(files, algos, glob, scope, budget, base).select(
         F.col("fileid").alias("file_id"), algo_array(algos).alias("requested")
     )
-    return rehash(
-        wanted, files, index, state, content, algos, broadcast_rows=broadcast_rows
-    )
+    return rehash(wanted, files, index, state, content, algos)
 
 
 def generate_totals(results: DataFrame) -> DataFrame:

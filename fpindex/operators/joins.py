@@ -115,30 +115,3 @@ def top_per_key(
         .drop("_rank", _SALT)
     )
     return first.withColumn("_rank", rank.over(final)).filter(F.col("_rank") <= cap).drop("_rank")
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counted per partition, no row moves."""
-    return df.count() <= rows
-
-
-def plan_size(ids: DataFrame, files: DataFrame, rows: int) -> tuple[bool, bool]:
-    """Whether a plan over ``ids(file_id)`` is small, and whether it is a small part.
-
-    A plan has at most a row per file, so the inventory is counted first, which
-    is cheap: if it is small there is nothing to reduce.
-    """
-    if fits(files.select("fileid"), rows):
-        return True, False
-    few = fits(ids.select("file_id"), rows)
-    return few, few
-
-
-def keep_ids(df: DataFrame, ids: DataFrame, key: str = "file_id") -> DataFrame:
-    """Rows of a large table that belong to the few ``ids(file_id)``.
-
-    For id lists whose size was checked: the list goes to the rows, so that the
-    table is reduced where it is read and only the rest is shuffled.
-    """
-    few = ids.select(F.col("file_id").alias(key))
-    return df.join(F.broadcast(few), key, "left_semi")

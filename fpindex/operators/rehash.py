@@ -1,9 +1,10 @@
 """Which hashes are missing, and computing them.
 
-A plan row says what one file needs. Contents are never shuffled: a small plan
-is broadcast to where the contents are read, a large one is joined with the
-digests after they were computed there, and a plan over stored files opens
-those files in its own tasks.
+A plan row says what one file needs. Contents are never shuffled: the plan goes
+to where they are read (see ``fpindex.operators.asked``), the asked digests are
+computed there, and only those are joined with the plan. A plan over stored
+files opens those files in its own tasks. Plans are cut once, since they are
+read for that filter and for the join.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 
 from fpindex.constants import (
     ALGOS,
-    BROADCAST_PLAN_ROWS,
     DEFAULT_ALGO,
     ERR_NO_CONTENT,
     ERR_NOT_FILE,
@@ -24,9 +24,10 @@ from fpindex.constants import (
 )
 from fpindex.functions import codec
 from fpindex.functions.digests import with_digests
-from fpindex.operators.joins import fits, keep_ids, plan_size
+from fpindex.operators.asked import IdFilter, id_filter, reduce_tables
 from fpindex.operators.wide import known_hashes, wide_index
 from fpindex.operators.rules import fresh
+from fpindex.session import cut_lineage
 from fpindex.sources.content import StoredFiles, digest_stored
 
 Content = DataFrame | StoredFiles
@@ -84,41 +85,43 @@ def needed_hashes(
     )
 
 
+def asked_contents(content: DataFrame, asked: IdFilter) -> DataFrame:
+    """``(file_id, content, needed)`` of the readable contents that a plan asks for.
+
+    A few rows more may come, and a few algorithms more be named: false
+    positives of the filter.
+    """
+    return asked.asked(content.select("file_id", "content").filter(F.col("content").isNotNull()))
+
+
 def digest_plan(
-    plan: DataFrame,
-    content: Content,
-    algos: Sequence[str] = ALGOS,
-    broadcast_rows: int = BROADCAST_PLAN_ROWS,
-    small: bool = False,
+    plan: DataFrame, content: Content, algos: Sequence[str] = ALGOS, within: IdFilter | None = None
 ) -> DataFrame:
     """``(file_id, digests)`` of the files in ``plan(file_id, needed)``.
 
-    ``small`` says that the plan is known to have no more than ``broadcast_rows``
-    rows; otherwise it is counted up to there.
+    One way for plans of all sizes. Join the result with the plan, which is
+    read twice before: cut its lineage first. Digests that were not asked for
+    may be among them. ``within`` is a filter that covers the plan's files.
     """
     algos = [a for a in ALGOS if a in set(algos)]
     work = plan.select("file_id", "needed").filter(F.size("needed") > 0)
     if isinstance(content, StoredFiles):
         return digest_stored(work, content, algos).drop("read_error")
-    readable = content.select("file_id", "content").filter(F.col("content").isNotNull())
-    if small or fits(work, broadcast_rows):
-        asked = readable.join(F.broadcast(work), "file_id")
-        return with_digests(asked, "content", algos, needed="needed").select("file_id", "digests")
-    return with_digests(readable, "content", algos).join(work, "file_id", "left_semi")
+    if not algos:
+        return work.limit(0).select("file_id", F.create_map().cast(NO_HASHES).alias("digests"))
+    asked = asked_contents(content, id_filter(work, algos, "needed", within=within))
+    return with_digests(asked, "content", algos, needed="needed").select("file_id", "digests")
 
 
 def with_results(
-    rows: DataFrame,
-    content: Content,
-    algos: Sequence[str] = ALGOS,
-    broadcast_rows: int = BROADCAST_PLAN_ROWS,
-    small: bool = False,
+    rows: DataFrame, content: Content, algos: Sequence[str] = ALGOS, within: IdFilter | None = None
 ) -> DataFrame:
     """Add ``results``: one ``struct<algo,success,hash,existed,error>`` per requested algorithm.
 
     ``rows`` has ``file_id, found, is_file, requested, needed, known``.
     """
-    digests = digest_plan(rows, content, algos, broadcast_rows, small)
+    rows = cut_lineage(rows)
+    digests = digest_plan(rows, content, algos, within)
     joined = rows.join(digests, "file_id", "left")
 
     def result(algo: Column) -> Column:
@@ -175,20 +178,18 @@ def rehash(
     content: Content,
     algos: Sequence[str] = ALGOS,
     skip_existing: bool = True,
-    broadcast_rows: int = BROADCAST_PLAN_ROWS,
 ) -> DataFrame:
     """``(file_id, algo, success, hash, existed, error)`` per requested algorithm.
 
     ``requests`` has one row per file; ``algos`` names every supported algorithm
-    that any of them may ask for.
+    that any of them may ask for. Inventory, index and state are reduced to the
+    requested files where they are read.
     """
-    requests = requests.filter(F.col("file_id").isNotNull())
-    small, part = plan_size(requests, files, broadcast_rows)
-    if part:
-        files = keep_ids(files, requests, "fileid")
-        index, state = keep_ids(index, requests), keep_ids(state, requests)
+    requests = cut_lineage(requests.filter(F.col("file_id").isNotNull()))
+    wanted = id_filter(requests)
+    files, index, state = reduce_tables(wanted, files, index, state)
     rows = plan_requests(requests, files, index, state, skip_existing)
-    return _result_rows(with_results(rows, content, algos, broadcast_rows, small))
+    return _result_rows(with_results(rows, content, algos, wanted))
 
 
 def _result_rows(done: DataFrame) -> DataFrame:
@@ -205,7 +206,6 @@ def recalc_existing(
     index: DataFrame,
     state: DataFrame,
     content: Content,
-    broadcast_rows: int = BROADCAST_PLAN_ROWS,
 ) -> DataFrame:
     """Recompute the algorithms each file has already; the default one if none."""
     have = files.select(F.col("fileid").alias("file_id")).join(wide_index(index), "file_id", "left")
@@ -217,8 +217,7 @@ def recalc_existing(
         .alias("requested"),
     )
     rows = plan_requests(requests, files, index, state)
-    small = fits(files.select("fileid"), broadcast_rows)
-    return _result_rows(with_results(rows, content, ALGOS, broadcast_rows, small))
+    return _result_rows(with_results(rows, content, ALGOS))
 
 
 def new_index_rows(results: DataFrame) -> DataFrame:

@@ -7,30 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fpindex.constants import ALGOS, BROADCAST_PLAN_ROWS, ERR_NO_CONTENT, HOT_GROUP_ROWS
+from fpindex.constants import ALGOS, ERR_NO_CONTENT, HOT_GROUP_ROWS
 from fpindex.operators.duplicates import KEYS
 from fpindex.operators.joins import join_groups
 from fpindex.operators.rehash import Content, digest_plan
 from fpindex.session import cut_lineage
+from fpindex.sources.content import StoredFiles
 
 
 def verify_members(
     members: DataFrame,
     content: Content,
     algos: Sequence[str] = ALGOS,
-    broadcast_rows: int = BROADCAST_PLAN_ROWS,
 ) -> DataFrame:
     """Member rows with ``verified_hash``, ``verified`` and ``verify_error``.
 
-    ``members`` has ``algo, hash_value`` and ``file_id`` or ``fileid``. Hashes are always recomputed
-    and nothing is stored; a file that cannot be read is a mismatch.
+    ``members`` has ``algo, hash_value`` and ``file_id`` or ``fileid``; it is
+    computed once. Hashes are always recomputed and nothing is stored; a file
+    that cannot be read is a mismatch.
     """
     key = "fileid" if "fileid" in members.columns else "file_id"
-    plan = members.groupBy(F.col(key).alias("file_id")).agg(
+    members = cut_lineage(members)
+    if isinstance(content, StoredFiles):
         # at most one entry per algorithm
-        F.collect_set("algo").alias("needed")
-    )
-    digests = digest_plan(plan, content, algos, broadcast_rows)
+        plan = members.groupBy(F.col(key).alias("file_id")).agg(F.collect_set("algo").alias("needed"))
+    else:
+        plan = members.select(F.col(key).alias("file_id"), F.array("algo").alias("needed"))
+    digests = digest_plan(plan, content, algos)
     made = F.try_element_at("digests", F.col("algo"))
     return (
         members.join(digests.withColumnRenamed("file_id", key), key, "left")

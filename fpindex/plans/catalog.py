@@ -18,6 +18,7 @@ from fpindex.operators import paths as resolving
 from fpindex.operators import rules as ruling
 from fpindex.plans.fixtures import NOW, RULES, Fixture
 from fpindex.sources import inventory, metadata, reports, store
+from fpindex.session import cut_lineage
 from fpindex.sources import rules as rule_sources
 from fpindex.streaming import fold
 
@@ -739,7 +740,7 @@ def digest_native(fx):
 @query
 def digest_all(fx):
     """All digests; those that SQL engines lack by length and by the first file with the same."""
-    index = digests.digests_long(fx.documents, "doc_id", "text", ALGOS)
+    index = cut_lineage(digests.digests_long(fx.documents, "doc_id", "text", ALGOS))
     first = index.groupBy("algo", "hash").agg(F.min("file_id").alias("first_file_id"))
     known = F.col("algo").isin("sha1", "md5", "sha256", "adler32", "crc32")
     return index.join(first, ["algo", "hash"]).select(

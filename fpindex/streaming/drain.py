@@ -9,9 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fpindex.constants import ALGOS, BROADCAST_PLAN_ROWS
+from fpindex.constants import ALGOS
 from fpindex.operators.drain import drain, drained_files, drained_index, drained_state
-from fpindex.operators.joins import fits, keep_ids
+from fpindex.operators.asked import IdFilter, id_filter
 from fpindex.operators.pending import clear_index, copy_checksums
 from fpindex.operators.rehash import Content
 from fpindex.operators.rules import Rule
@@ -64,25 +64,24 @@ def current_files(spark: SparkSession, tables: Tables, out: str, before: int | N
     return files if outcomes is None else drained_files(files, outcomes)
 
 
-def with_copied_checksums(files: DataFrame, events: DataFrame, few: bool) -> DataFrame:
+def with_copied_checksums(files: DataFrame, events: DataFrame, only: IdFilter | None = None) -> DataFrame:
     """Inventory in which copied files have the packed checksums of their sources.
 
-    ``few`` says that the events are about few enough files to be broadcast.
+    With ``only`` just the files of that filter are returned; sources may be any.
     """
-    copies = usable(events).filter(
-        (F.col("kind") == "copied") & F.col("source_file_id").isNotNull()
-    ).select("source_file_id", "file_id", "ts", "event_id")
-    pool = files.select("fileid", "checksum")
-    if few:
-        ends = copies.select(F.explode(F.array("file_id", "source_file_id")).alias("file_id"))
-        ends = ends.distinct()
-        # a file may be copied over from any number of sources
-        if fits(ends, BROADCAST_PLAN_ROWS):
-            pool = keep_ids(pool, ends, "fileid")
+    copies = cut_lineage(
+        usable(events)
+        .filter((F.col("kind") == "copied") & F.col("source_file_id").isNotNull())
+        .select("source_file_id", "file_id", "ts", "event_id")
+    )
+    # a file may be copied over from any number of sources
+    ends = copies.select(F.explode(F.array("file_id", "source_file_id")).alias("file_id"))
+    pool = id_filter(ends).keep(files.select("fileid", "checksum"), "fileid")
     inherited = copy_checksums(pool, copies).select(
         F.col("file_id").alias("fileid"), F.col("checksum").alias("_inherited")
     )
-    joined = files.join(F.broadcast(inherited) if few else inherited, "fileid", "left")
+    wanted = files if only is None else only.keep(files, "fileid")
+    joined = wanted.join(inherited, "fileid", "left")
     return joined.withColumn("checksum", F.coalesce("_inherited", "checksum")).drop("_inherited")
 
 
@@ -103,19 +102,14 @@ def process_batch(
     the state are dropped where they are read.
     """
     folded = cut_lineage(fold_events(events, rules))
-    few = fits(folded, BROADCAST_PLAN_ROWS)
-    files = with_copied_checksums(files, events, few)
-    counted = index
-    if few:
-        hit = F.broadcast(folded.select("file_id").withColumn("_hit", F.lit(True)))
-        state = (
-            state.join(hit, "file_id", "left")
-            .filter(F.col("_hit") | F.col("pending_mode").isNotNull())
-            .drop("_hit")
-        )
-        counted = keep_ids(index, folded)
-    marked = cut_lineage(apply_fold(state, counted, folded, upsert=True))
+    hit = id_filter(folded)
+    # files of the batch, and the backlog
+    at_rest, backlog = state.filter("pending_mode IS NULL"), state.filter("pending_mode IS NOT NULL")
+    touched = hit.keep(at_rest).unionByName(backlog).select("file_id", "updated_at", "pending_mode")
+    counted = hit.keep(index)
+    marked = cut_lineage(apply_fold(touched, counted, folded, upsert=True))
     cleared = marked.filter("cleared")
+    files = with_copied_checksums(files, events, id_filter(marked))
     drained = drain(
         marked, files, clear_index(index, cleared), rules, content, now, lazy, algos=algos
     ).select(*OUTCOME)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from fpindex.constants import ALGOS, ERR_NO_CONTENT, HEX_LENGTH
 from fpindex.functions.digests import digests_long, hex_digests, with_digests
-from fpindex.operators.rehash import digest_plan, rehash, request_all
+from fpindex.operators import asked
+from fpindex.operators.asked import id_filter
+from fpindex.operators.rehash import asked_contents, digest_plan, rehash, request_all
 from fpindex.sources.content import StoredFiles, digest_stored
 from fpindex.sources.inventory import read_contents, walk_files
 
@@ -139,15 +141,55 @@ def test_unreadable_files_become_error_rows(spark, tree):
     assert sorted(r["error"] for r in results if not r["success"]) == [ERR_NO_CONTENT] * 2
 
 
-def test_large_plans_are_joined_after_hashing(spark, sf_dir, rows):
-    content = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+def content_of(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("file_id"), F.col("text").alias("content")
     )
-    plan = content.filter("file_id < 50").select("file_id", F.array(F.lit("md5")).alias("needed"))
-    few = digest_plan(plan, content, ["md5"])
-    many = digest_plan(plan, content, ["md5"], broadcast_rows=10)
-    assert rows(few.select("file_id", "digests.md5")) == rows(many.select("file_id", "digests.md5"))
-    # contents do not cross a shuffle in either form
-    for df in (few, many):
-        for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
-            assert "Repartition" not in line
+
+
+@pytest.mark.parametrize("share", [1, 3, 50, 1000])
+def test_plans_of_all_sizes_digest_what_they_ask_for(spark, sf_dir, rows, share):
+    content = content_of(spark, sf_dir)
+    algos = F.when(F.col("file_id") % 2 == 0, F.array(F.lit("md5"), F.lit("crc32"))).otherwise(F.array(F.lit("sha1")))
+    plan = content.filter(F.col("file_id") % share == 0).select("file_id", algos.alias("needed"))
+    asked = asked_contents(content, id_filter(plan, ALGOS, "needed"))
+    assert rows(asked.select("file_id", F.sort_array("needed"))) == rows(plan.select("file_id", F.sort_array("needed")))
+    made = digest_plan(plan, content, ["md5", "sha1", "crc32"])
+    given = {r.file_id: {k: v for k, v in r.digests.items() if v} for r in made.collect()}
+    texts = {r.file_id: r.content.encode() for r in content.collect()}
+    for r in plan.collect():
+        assert given[r.file_id] == dict(zip(r.needed, hex_digests([texts[r.file_id]], r.needed)))
+    assert len(given) == plan.count()
+
+
+def test_contents_do_not_cross_a_shuffle(spark, sf_dir):
+    content = content_of(spark, sf_dir)
+    plan = content.select("file_id", F.array(F.lit("md5")).alias("needed"))
+    made = digest_plan(plan, content, ["md5"])
+    text = made._jdf.queryExecution().executedPlan().toString()
+    scanned = [line for line in text.splitlines() if "content" in line]
+    assert scanned and not any("Exchange" in line for line in scanned)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    pushed = [x for x in made._jdf.queryExecution().explainString(mode).splitlines() if "PushedFilters" in x]
+    assert any("GreaterThanOrEqual(doc_id,0), LessThanOrEqual(doc_id,199)" in x for x in pushed), pushed
+
+
+def test_full_fields_only_cost_more(spark, monkeypatch):
+    """A plan beyond the bound of the fields keeps all its rows and gets more of the others."""
+    monkeypatch.setattr(asked, "LEAST_BITS", 1 << 15)
+    monkeypatch.setattr(asked, "MOST_BITS", 1 << 15)
+    plan = spark.range(0, 40_000, 2).select(F.col("id").alias("file_id"))
+    table = spark.range(-5_000, 60_000).select(F.col("id").alias("file_id"))
+    found = id_filter(plan)
+    assert (found.parts, found.hashes) == (1, 1)
+    kept = found.keep(table)
+    assert kept.join(plan, "file_id", "left_semi").count() == 20_000
+    assert 20_000 < kept.count() < 40_000 and kept.filter("file_id < 0 OR file_id > 39998").count() == 0
+
+
+def test_filters_of_nothing_and_of_nulls(spark):
+    ids = spark.createDataFrame([(None, ["a"]), (7, []), (9, None), (-3, ["b"])], "file_id long, needed array<string>")
+    table = spark.createDataFrame([(None, 1), (7, 2), (9, 3), (-3, 4), (8, 5)], "file_id long, n int")
+    assert [tuple(r) for r in id_filter(ids, ("a", "b"), "needed").asked(table).collect()] == [(-3, 4, ["b"])]
+    assert sorted(r.file_id for r in id_filter(ids).keep(table).collect()) == [-3, 7, 9]
+    assert id_filter(ids.filter("false")).keep(table).count() == id_filter(ids.filter("false"), ("a",), "needed").asked(table).count() == 0

@@ -148,24 +148,27 @@ def test_tables_after_a_drain(world, rows):
     assert rows(drains.drain_totals(outcome)) == [("auto", 1, 0), ("lazy", 1, 0)]
 
 
-def test_batch_and_shuffle_forms_agree(world):
+def test_part_of_a_queue(world):
     for i in range(20):
         world.file(i, content=b"%d" % i).state_row(i, 0, "force" if i % 2 else "missing")
-    small, large = world.drain(), world.drain(broadcast_rows=3)
-    assert small == large and len(small) == 20
-    assert sorted(world.drain(batch=5)) == [0, 1, 2, 3, 4]
+    everything = world.drain()
+    assert len(everything) == 20 and sorted(world.drain(batch=5)) == [0, 1, 2, 3, 4]
+    assert all(everything[i]["hashes"]["md5"] == hashlib.md5(b"%d" % i).hexdigest() for i in range(20))
 
 
-def test_a_small_part_of_a_store_gives_the_same(world, rows):
+def test_a_small_part_of_a_store(world, rows):
     for i in range(20):
         world.file(i, content=b"%d" % i).hashes(i, md5="old")
     world.state_row(3, 0, "missing").state_row(4, 0, "auto").state_row(5, 500)
-    assert world.drain(broadcast_rows=5) == world.drain() and len(world.drain()) == 2
+    drained = world.drain()
+    assert {i: set(r["hashes"]) for i, r in drained.items()} == {3: set(ALGOS), 4: {"md5"}}
     ids = world.spark.createDataFrame([(3,), (3,), (77,)], "file_id long")
     requests = rehash.request_all(ids, ["md5", "crc32"])
     tables = (world.files, world.index, world.state, world.content)
-    part = rows(rehash.rehash(requests, *tables, broadcast_rows=5))
-    assert part == rows(rehash.rehash(requests, *tables)) and len(part) == 4
+    got = rows(rehash.rehash(requests, *tables).select("file_id", "algo", "success", "error"))
+    assert got == [
+        (3, "crc32", True, None), (3, "md5", True, None), (77, "crc32", False, ERR_NOT_FOUND), (77, "md5", False, ERR_NOT_FOUND)
+    ]
 
 
 def test_rebuild_seeds_first(world):
