@@ -15,6 +15,7 @@ from fpindex.operators import generate as gen
 from fpindex.operators import lookup, paths, pending, rehash, status, verify
 from fpindex.operators import rules as ruling
 from fpindex.sources.reports import duplicates_to_json
+from fpindex.sources.versions import VersionedStore
 
 
 @dataclass
@@ -32,6 +33,20 @@ class FingerprintIndex:
     content: rehash.Content | None = None
     rules: Sequence[ruling.Rule] = field(default_factory=tuple)
 
+    @classmethod
+    def of_store(
+        cls,
+        store: VersionedStore,
+        storages: DataFrame,
+        content: rehash.Content | None = None,
+        rules: Sequence[ruling.Rule] = (),
+        version: int | None = None,
+    ) -> FingerprintIndex:
+        """The tables of a version, by default the last one."""
+        shown = store.version(version)
+        files, index, state = (store.read(t, shown) for t in ("files", "index", "state"))
+        return cls(files.drop("owner"), storages, index, state, content, rules)
+
     @property
     def owned_files(self) -> DataFrame:
         return paths.with_owner(self.files, self.storages)

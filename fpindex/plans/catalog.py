@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,14 @@ from fpindex.functions.sql import register_functions
 from fpindex.operators import drain as drains
 from fpindex.operators import duplicates as dups
 from fpindex.operators import generate as gen
-from fpindex.operators import lookup, pending, rehash, status, verify
+from fpindex.operators import lookup, pending, rehash, status, upkeep, verify
 from fpindex.operators import paths as resolving
 from fpindex.operators import rules as ruling
 from fpindex.plans.fixtures import NOW, RULES, Fixture
 from fpindex.sources import inventory, metadata, reports, store
-from fpindex.session import cut_lineage
+from fpindex.session import cut_lineage, ensure_checkpoint_dir
 from fpindex.sources import rules as rule_sources
+from fpindex.sources.versions import VersionedStore
 from fpindex.streaming import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -679,6 +681,42 @@ def rebuild(fx):
     )
 
 
+def _stored(fx: Fixture) -> VersionedStore:
+    """A new store with the tables, in the folder that the cluster shares."""
+    store = VersionedStore(fx.spark, f"{ensure_checkpoint_dir(fx.spark).rstrip('/')}/stores/{uuid.uuid4().hex}")
+    upkeep.create_store(store, fx.owned_files, fx.state, fx.recorded, buckets=8)
+    return store
+
+
+def _drained_store(fx: Fixture) -> VersionedStore:
+    """A store after its queue was worked off once."""
+    store = _stored(fx)
+    files, state, index = (store.read(t) for t in ("files", "state", "index"))
+    upkeep.commit_outcome(store, drains.drain(state, files, index, RULES, fx.content, NOW))
+    return store
+
+
+@query
+def drain_twice(fx):
+    """What a second drain finds: the files that failed, marked again."""
+    store = _drained_store(fx)
+    files, state, index = (store.read(t) for t in ("files", "state", "index"))
+    return _drain_view(drains.drain(state, files, index, RULES, fx.content, NOW + 60))
+
+
+@query
+def groups_after_drain(fx):
+    """Duplicate groups from the kept counts, after a drain changed some."""
+    groups = _drained_store(fx).read("groups")
+    return groups.filter((F.col("file_count") >= 2) & F.col("algo").isin("sha1", "md5", "sha256"))
+
+
+@query
+def kept_groups_page(fx):
+    """A page of groups that reads the kept counts."""
+    return upkeep.kept_page(_stored(fx), limit=25, offset=10)
+
+
 # -- verification --------------------------------------------------------------
 
 

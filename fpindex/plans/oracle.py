@@ -659,6 +659,26 @@ _BODIES: dict[str, str] = {
                count(*) FILTER (WHERE NOT success) AS failed
         FROM outcome GROUP BY pending_mode""",
     "rebuild": _REBUILD + _OUTCOME,
+    "drain_twice": _DRAIN
+    + """
+        SELECT file_id, mode AS pending_mode, mode, false AS success, updated_at, mode AS next_pending,
+               0::BIGINT AS computed,
+               CAST((sha1 IS NOT NULL)::BIGINT + (md5 IS NOT NULL)::BIGINT
+                    + (sha256 IS NOT NULL)::BIGINT + rest AS BIGINT) AS hash_count,
+               sha1, md5, sha256
+        FROM outcome WHERE NOT success""",
+    "groups_after_drain": _DRAIN
+    + """
+        , after AS (
+            SELECT * FROM recorded WHERE file_id NOT IN (SELECT file_id FROM outcome)
+            UNION ALL SELECT file_id, 'sha1', sha1 FROM outcome WHERE sha1 IS NOT NULL
+            UNION ALL SELECT file_id, 'md5', md5 FROM outcome WHERE md5 IS NOT NULL
+            UNION ALL SELECT file_id, 'sha256', sha256 FROM outcome WHERE sha256 IS NOT NULL)
+        SELECT algo, hash AS hash_value, count(*) AS file_count
+        FROM after GROUP BY algo, hash HAVING count(*) >= 2""",
+    "kept_groups_page": f"""
+        SELECT * FROM ({_groups("recorded", "min(file_id) AS first_file_id, max(file_id) AS last_file_id, count(*)")})
+        ORDER BY file_count DESC, algo, hash_value LIMIT 25 OFFSET 10""",
     "verify_duplicates": _VERIFIED + "SELECT * FROM groups",
     "verify_members": _VERIFIED
     + """

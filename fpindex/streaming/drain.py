@@ -42,10 +42,12 @@ def read_outcomes(spark: SparkSession, out: str, before: int | None = None) -> D
         return None
     if before is not None:
         rows = rows.filter(F.col("batch_id") < before)
+    # after a failure the packed column stays as the last success made it
+    done = F.when(F.col("success"), F.col("batch_id"))
     return (
         rows.groupBy("file_id")
-        .agg(F.max_by(F.struct(*OUTCOME[1:]), "batch_id").alias("o"))
-        .select("file_id", "o.*")
+        .agg(F.max_by(F.struct(*OUTCOME[1:]), "batch_id").alias("o"), F.max_by("hashes", done).alias("packed"))
+        .select("file_id", "o.*", "packed")
     )
 
 
@@ -61,7 +63,10 @@ def current_files(spark: SparkSession, tables: Tables, out: str, before: int | N
     """Inventory whose packed column follows all outcomes up to a batch."""
     files = tables.files() if callable(tables.files) else tables.files
     outcomes = read_outcomes(spark, out, before)
-    return files if outcomes is None else drained_files(files, outcomes)
+    if outcomes is None:
+        return files
+    done = outcomes.select("file_id", F.col("packed").alias("hashes"), F.col("packed").isNotNull().alias("success"))
+    return drained_files(files, done)
 
 
 def with_copied_checksums(files: DataFrame, events: DataFrame, only: IdFilter | None = None) -> DataFrame:
