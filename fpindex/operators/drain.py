@@ -30,7 +30,7 @@ from fpindex.constants import (
 )
 from fpindex.functions import codec
 from fpindex.operators.asked import id_filter, reduce_tables
-from fpindex.operators.pending import pending, seed_pending
+from fpindex.operators.pending import pending, pending_batch, seed_pending
 from fpindex.operators.rehash import (
     NO_HASHES,
     Content,
@@ -127,9 +127,7 @@ def drain(
     """
     if lazy not in ("clear", "compute"):
         raise ValueError("lazy is 'clear' or 'compute'")
-    queue = pending(state)
-    if batch is not None:
-        queue = queue.orderBy("file_id").limit(max(1, batch))
+    queue = pending(state) if batch is None else pending_batch(state, max(1, batch))
     queue = cut_lineage(queue)
     wanted = id_filter(queue)
     files, index = reduce_tables(wanted, files, index)

@@ -18,6 +18,7 @@ from fpindex.functions.codec import index_value
 from fpindex.operators.joins import join_groups, spread_join
 from fpindex.operators.lookup import checked_limit
 from fpindex.operators.paths import resolve_paths
+from fpindex.operators.ranked import ranked
 
 KEYS = ["algo", "hash_value"]
 PART_FILES = 10_000
@@ -57,23 +58,21 @@ def page(
 
     ``offset`` skips groups one by one; to go deep, give ``after``: the
     ``(file_count, algo, hash_value)`` of the last group of the page before.
-    ``limit=None`` gives all groups behind the offset.
+    ``limit=None`` gives all groups behind the offset. The groups are computed
+    once, for the page and both numbers.
     """
     limit, offset = checked_limit(limit), max(0, offset)
-    total = groups.select(F.count("*")).scalar()
-    rest = groups
-    if after is not None:
+    listed = ranked(groups, group_order())
+    if after is None:
+        shown, left = listed.slice(limit, offset), listed.total
+    else:
         count, algo, value = after
         n, name, key = F.col("file_count"), F.col("algo"), F.col("hash_value")
-        rest = groups.filter(
-            (n < count) | ((n == count) & ((name > algo) | ((name == algo) & (key > value))))
-        )
-    left = total if after is None else rest.select(F.count("*")).scalar()
-    ordered = rest.orderBy(*group_order()).offset(offset)
-    return (
-        (ordered if limit is None else ordered.limit(limit))
-        .withColumn("total_groups", total)
-        .withColumn("has_more", F.lit(False) if limit is None else left > F.lit(offset + limit))
+        behind = (n < count) | ((n == count) & ((name > algo) | ((name == algo) & (key > value))))
+        left = listed.rows.filter(behind).count()
+        shown = listed.slice(limit, listed.total - left + offset)
+    return shown.withColumn("total_groups", F.lit(listed.total).cast("long")).withColumn(
+        "has_more", F.lit(limit is not None and left > offset + limit)
     )
 
 

@@ -11,6 +11,7 @@ from fpindex.constants import MODE_AUTO, SCOPE_ALL
 from fpindex.functions import codec
 from fpindex.functions.globs import glob_match
 from fpindex.functions.paths import relative_path
+from fpindex.operators.ranked import first_rows, ranked
 from fpindex.operators.rehash import Content, algo_array, rehash
 from fpindex.sources.inventory import only_files
 
@@ -34,7 +35,20 @@ def missing_hashes(files: DataFrame, algos: Sequence[str]) -> DataFrame:
 def glob_search(files: DataFrame, glob: str, limit: int = 0) -> DataFrame:
     """Files whose path matches; with a positive limit the first by id."""
     hits = only_files(files).filter(glob_match(F.col("path"), glob))
-    return hits.orderBy("fileid").limit(limit) if limit > 0 else hits
+    return first_rows(hits, [F.asc("fileid")], limit) if limit > 0 else hits
+
+
+def glob_search_page(files: DataFrame, glob: str, limit: int, after: int | Column | None = None) -> DataFrame:
+    """One page of the matching files by id, with ``has_more``.
+
+    ``after`` is the last id of the page before, a number or a scalar; the
+    search goes on behind it, however many files lie before.
+    """
+    if limit < 1:
+        raise ValueError("a page has 1 row or more")
+    rest = only_files(files) if after is None else only_files(files).filter(F.col("fileid") > after)
+    hits = ranked(rest.filter(glob_match(F.col("path"), glob)), [F.asc("fileid")])
+    return hits.slice(limit).withColumn("has_more", F.lit(hits.total > limit))
 
 
 def walk_stats(
@@ -75,7 +89,7 @@ def candidates(
     """
     lacking = F.size(codec.missing_algos(F.col("checksum"), algos)) > 0
     found = _in_scope(files, scope).filter(lacking & _matches(F.col("path"), glob, base))
-    return found if not budget else found.orderBy("owner", "fileid").limit(budget)
+    return found if not budget else first_rows(found, [F.asc("owner"), F.asc("fileid")], budget)
 
 
 def generate_missing(
@@ -112,5 +126,5 @@ def mark_matching(
     """Marks ``(file_id, mode)`` that put matching files into the queue as ``auto``."""
     hits = _in_scope(files, scope).filter(glob_match(F.col("path"), glob))
     if budget:
-        hits = hits.orderBy("owner", "fileid").limit(budget)
+        hits = first_rows(hits, [F.asc("owner"), F.asc("fileid")], budget)
     return hits.select(F.col("fileid").alias("file_id"), F.lit(MODE_AUTO).alias("mode"))

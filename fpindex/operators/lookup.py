@@ -10,6 +10,7 @@ from fpindex.functions import codec
 from fpindex.functions.terms import parse_hash_term
 from fpindex.operators.joins import hot_join
 from fpindex.operators.paths import resolve_paths, visible_files
+from fpindex.session import cut_lineage
 
 DEFAULT_LIMIT = 100
 
@@ -59,8 +60,9 @@ def find_by_hash(
     )
     if limit is None:
         return found.withColumn("has_more", F.lit(False))
-    total = found.select(F.count("*")).scalar()
-    return found.orderBy("fileid", "algo").limit(limit).withColumn("has_more", total > limit)
+    # one row more than asked for tells whether there are more
+    shown = cut_lineage(found.orderBy("fileid", "algo").limit(limit + 1))
+    return shown.orderBy("fileid", "algo").limit(limit).withColumn("has_more", F.lit(shown.count() > limit))
 
 
 def find_by_hashes(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fpindex.constants import MODE_AUTO, MODE_FORCE, MODE_LAZY, MODE_MISSING, MODE_NEW
 from fpindex.operators.joins import hot_join
+from fpindex.operators.ranked import first_rows
 from fpindex.sources.inventory import only_files
 from fpindex.sources.metadata import import_packed
 
@@ -66,7 +67,7 @@ def pending(state: DataFrame) -> DataFrame:
 
 def pending_batch(state: DataFrame, limit: int) -> DataFrame:
     """Head of the queue by file id."""
-    return pending(state).orderBy("file_id").limit(limit)
+    return first_rows(pending(state), [F.asc("file_id")], limit)
 
 
 def pending_stats(state: DataFrame) -> DataFrame:

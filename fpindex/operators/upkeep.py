@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fpindex.operators.drain import drained_files, drained_index, drained_state, outcome_index
 from fpindex.operators.duplicates import KEYS, group_order
 from fpindex.operators.lookup import checked_limit
+from fpindex.operators.ranked import ranked
 from fpindex.session import cut_lineage
 from fpindex.sources.versions import BUCKETS, Change, Version, VersionedStore
 
@@ -111,8 +112,7 @@ def kept_page(
     groups = store.read("groups", version).filter(F.col("file_count") >= max(2, min_count))
     if algo is not None:
         groups = groups.filter(F.col("algo") == algo.strip().lower())
-    ordered = groups.orderBy(*group_order()).offset(max(0, offset))
-    shown = cut_lineage(ordered if limit is None else ordered.limit(limit))
+    shown = ranked(groups, group_order()).slice(limit, max(0, offset))
     wanted = shown.select("algo", F.col("hash_value").alias("hash"))
     index = store.read("index", version)
     members = index.join(F.broadcast(wanted) if limit is not None else wanted, ["algo", "hash"], "left_semi")

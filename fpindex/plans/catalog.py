@@ -626,6 +626,15 @@ def generate_budget(fx):
     )
 
 
+@query
+def glob_search_page(fx):
+    """The third page of a search that goes on where the page before ended."""
+    last = None
+    for _ in range(2):
+        last = gen.glob_search_page(fx.files, "*[02468].[pm]*", 40, last).agg(F.max("fileid")).first()[0]
+    return gen.glob_search_page(fx.files, "*[02468].[pm]*", 40, last).select("fileid", "path", "has_more")
+
+
 @query
 def generate_mark(fx):
     return gen.mark_matching(fx.owned_files, "*.pdf", scope="src8")

@@ -659,6 +659,10 @@ _BODIES: dict[str, str] = {
                count(*) FILTER (WHERE NOT success) AS failed
         FROM outcome GROUP BY pending_mode""",
     "rebuild": _REBUILD + _OUTCOME,
+    "glob_search_page": """
+        , hits AS (SELECT fileid, path, row_number() OVER (ORDER BY fileid) AS n, count(*) OVER () AS total
+                   FROM files WHERE path GLOB '*[02468].[pm]*')
+        SELECT fileid, path, total > 120 AS has_more FROM hits WHERE n > 80 AND n <= 120""",
     "drain_twice": _DRAIN
     + """
         SELECT file_id, mode AS pending_mode, mode, false AS success, updated_at, mode AS next_pending,
