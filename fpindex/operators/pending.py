@@ -85,7 +85,7 @@ def copy_checksums(files: DataFrame, copies: DataFrame) -> DataFrame:
 
     ``copies(source_file_id, file_id, ts, event_id)``: the last copy whose source
     has a checksum counts; a source without one changes nothing. Sources are
-    read as they are in ``files``.
+    read as they are in ``files``; for copies of copies see ``copies_in_order``.
     """
     sources = files.filter(F.coalesce("checksum", F.lit("")) != "").select(
         F.col("fileid").alias("source_file_id"), "checksum"

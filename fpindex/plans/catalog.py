@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fpindex.constants import ALGOS
 from fpindex.functions import codec, digests, globs, paths
 from fpindex.functions.sql import register_functions
+from fpindex.operators import copies as copying
 from fpindex.operators import drain as drains
 from fpindex.operators import duplicates as dups
 from fpindex.operators import generate as gen
@@ -340,6 +341,12 @@ def copy_checksums(fx):
     return pending.copy_checksums(fx.files, copies)
 
 
+@query
+def copy_chains(fx):
+    """Checksums after all copies in order; a copy of a copy takes what its source had then."""
+    return copying.copies_in_order(fx.files, fx.events.filter(F.col("kind") == "copied"))
+
+
 @query
 def sync_legacy(fx):
     return pending.sync_from_packed(fx.files, fx.recorded)

@@ -479,6 +479,24 @@ _BODIES: dict[str, str] = {
         SELECT e.user_id AS file_id, arg_max(s.checksum, (e.ts, e.event_id)) AS checksum
         FROM events e JOIN files s ON s.fileid = e.user_id + 1 JOIN files t ON t.fileid = e.user_id
         WHERE e.event_type = 'purchase' AND s.checksum IS NOT NULL GROUP BY e.user_id""",
+    # the copies one after another, with a map from files to the file whose checksum they have
+    "copy_chains": """
+        , had AS (SELECT map_from_entries(list((fileid, fileid))) AS m FROM files WHERE checksum IS NOT NULL),
+        step AS (
+            SELECT row_number() OVER (ORDER BY ts, event_id) AS n, user_id AS target, user_id + 1 AS source
+            FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts IS NOT NULL),
+        walk(n, m, hit) AS (
+            SELECT 0::BIGINT, m, NULL::BIGINT FROM had
+            UNION ALL
+            SELECT s.n,
+                   CASE WHEN map_contains(w.m, s.source)
+                        THEN map_concat(w.m, MAP {s.target: w.m[s.source]}) ELSE w.m END,
+                   CASE WHEN map_contains(w.m, s.source) THEN s.target END
+            FROM walk w JOIN step s ON s.n = w.n + 1),
+        final AS (SELECT unnest(map_entries(arg_max(m, n))) AS e FROM walk)
+        SELECT f.e.key AS file_id, r.checksum
+        FROM final f JOIN files r ON r.fileid = f.e.value JOIN files t ON t.fileid = f.e.key
+        WHERE f.e.key IN (SELECT hit FROM walk WHERE hit IS NOT NULL)""",
     "sync_legacy": """
         SELECT p.* FROM packed p
         WHERE (file_id, algo) NOT IN (SELECT (file_id, algo) FROM recorded)""",
@@ -746,3 +764,4 @@ _BODIES: dict[str, str] = {
 }
 
 ORACLE: dict[str, str] = {name: VIEWS + body for name, body in _BODIES.items()}
+ORACLE["copy_chains"] = ORACLE["copy_chains"].replace("WITH files", "WITH RECURSIVE files", 1)

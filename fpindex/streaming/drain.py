@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fpindex.constants import ALGOS
+from fpindex.operators.copies import copies_in_order
 from fpindex.operators.drain import drain, drained_files, drained_index, drained_state
 from fpindex.operators.asked import IdFilter, id_filter
-from fpindex.operators.pending import clear_index, copy_checksums
+from fpindex.operators.pending import clear_index
 from fpindex.operators.rehash import Content
 from fpindex.operators.rules import Rule
 from fpindex.session import cut_lineage
@@ -70,7 +71,7 @@ def current_files(spark: SparkSession, tables: Tables, out: str, before: int | N
 
 
 def with_copied_checksums(files: DataFrame, events: DataFrame, only: IdFilter | None = None) -> DataFrame:
-    """Inventory in which copied files have the packed checksums of their sources.
+    """Inventory in which copied files have the packed checksums their sources had at that moment.
 
     With ``only`` just the files of that filter are returned; sources may be any.
     """
@@ -82,7 +83,7 @@ def with_copied_checksums(files: DataFrame, events: DataFrame, only: IdFilter |
     # a file may be copied over from any number of sources
     ends = copies.select(F.explode(F.array("file_id", "source_file_id")).alias("file_id"))
     pool = id_filter(ends).keep(files.select("fileid", "checksum"), "fileid")
-    inherited = copy_checksums(pool, copies).select(
+    inherited = copies_in_order(pool, copies).select(
         F.col("file_id").alias("fileid"), F.col("checksum").alias("_inherited")
     )
     wanted = files if only is None else only.keep(files, "fileid")
