@@ -10,6 +10,7 @@ predicate Spark has for it, so that literal heads reach the Parquet scan as
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,6 +124,29 @@ def glob_prefix(glob: str) -> str:
     return tokens[0][1] if tokens and tokens[0][0] == "lit" else ""
 
 
+class GlobParts(NamedTuple):
+    """What plain comparisons say about the matches of a glob; ``plain`` if they say it all."""
+
+    head: str
+    tail: str
+    least: int
+    inner: str | None
+    plain: bool
+
+
+def glob_parts(glob: str) -> GlobParts:
+    """Literal head and tail of a glob, the least length of a match, and a text inside of it."""
+    tokens = _tokens(glob)
+    kinds = [kind for kind, _ in tokens]
+    head = tokens[0][1] if kinds[:1] == ["lit"] else ""
+    tail = tokens[-1][1] if kinds[-1:] == ["lit"] and (len(tokens) > 1 or not head) else ""
+    least = sum(len(text) if kind == "lit" else kind != "star" for kind, text in tokens)
+    body = kinds[bool(head) : len(kinds) - bool(tail)]
+    inner = [text for kind, text in tokens[bool(head) : len(tokens) - bool(tail)] if kind == "lit"]
+    plain = body in (["star"], ["star", "lit", "star"] if not head and not tail else ["star"])
+    return GlobParts(head, tail, least, max(inner, key=len) if inner else None, plain)
+
+
 def glob_match(path: Column, glob: str) -> Column:
     """Predicate: the whole ``path`` matches ``glob``."""
     tokens = _tokens(glob)

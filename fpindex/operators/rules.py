@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from fpindex.constants import ALGOS, MODE_AUTO, SCOPE_ALL
 from fpindex.functions.globs import glob_match
 from fpindex.operators.joins import top_per_key
+from fpindex.operators.many_rules import first_of_many
 from fpindex.sources.inventory import only_files
 
 # Rules per CASE expression; longer lists are evaluated as a chain of them.
 _CHUNK = 64
+# Rules that become branches of a plan; more of them are looked up in a table.
+MOST_BRANCHES = 1000
 
 
 @dataclass(frozen=True)
@@ -96,11 +99,14 @@ def match_rules(
     files: DataFrame, rules: Sequence[Rule], path: str = "path", owner: str | None = "owner"
 ) -> DataFrame:
     """Add ``rule_priority``, ``rule_id``, ``rule_mode`` and ``rule_algos``."""
-    position = first_rule(rules, F.col(path), None if owner is None else F.col(owner))
+    if len(rules) > MOST_BRANCHES:
+        placed = first_of_many(files, rules, path, owner)
+    else:
+        position = first_rule(rules, F.col(path), None if owner is None else F.col(owner))
+        placed = files.withColumn("rule_priority", position)
     rule = F.col("_rule")
     return (
-        files.withColumn("rule_priority", position)
-        .withColumn("_rule", rule_at(rules, F.col("rule_priority")))
+        placed.withColumn("_rule", rule_at(rules, F.col("rule_priority")))
         .select(
             *files.columns,
             "rule_priority",
