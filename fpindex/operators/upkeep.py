@@ -7,11 +7,12 @@ so that no drain groups the whole index again.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fpindex.operators.attempts import ATTEMPTS
 from fpindex.operators.drain import drained_files, drained_index, drained_state, outcome_index
 from fpindex.operators.duplicates import KEYS, group_order
 from fpindex.operators.lookup import checked_limit
@@ -56,6 +57,7 @@ def create_store(
         "state": state.select("file_id", "updated_at", "pending_mode"),
         "index": index,
         "groups": hash_counts(index),
+        "attempts": files.sparkSession.createDataFrame([], ATTEMPTS),
     }
     return store.create(tables, buckets, notes)
 
@@ -66,13 +68,15 @@ def commit_outcome(
     base: Version | None = None,
     notes: Mapping | None = None,
     packed: DataFrame | None = None,
+    attempts: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Version:
     """State, index, inventory and group counts after a drain, as one new version.
 
     ``outcome`` is that of a drain of the tables of ``base`` (the last version
     by default), one row per file. A commit that is killed leaves the store at
     ``base``, and can be repeated. ``packed(file_id, hashes, success)`` is given
-    if the packed column does not follow the outcome itself.
+    if the packed column does not follow the outcome itself, and ``attempts``
+    if failures are counted, such as by ``next_attempts``.
     """
     base = base or store.version()
     outcome = cut_lineage(outcome)
@@ -81,8 +85,12 @@ def commit_outcome(
     buckets = store.touched_buckets("index", base, ids)
     old = store.read("index", base, buckets).join(ids, "file_id", "left_semi")
     changes = cut_lineage(count_changes(old, outcome_index(outcome)))
+    waiting = {}
+    if attempts is not None:
+        waiting["attempts"] = Change(ids, attempts)
     return store.commit(
-        {
+        waiting
+        | {
             "state": Change(ids, lambda rows: drained_state(rows, outcome)),
             "index": Change(ids, lambda rows: drained_index(rows, outcome)),
             "files": Change(ids.withColumnRenamed("file_id", "fileid"), lambda rows: drained_files(rows, followed)),

@@ -50,6 +50,7 @@ LAYOUTS = {
     "index": Layout(("file_id",), ("hash", "algo", "file_id"), ("hash",)),
     "files": Layout(("fileid",), ("fileid",)),
     "groups": Layout(("algo", "hash_value"), ("file_count",)),
+    "attempts": Layout(("file_id",), ("file_id",)),
     "fold": Layout(("file_id",), ("file_id",)),
 }
 

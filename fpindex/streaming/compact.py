@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fpindex.constants import ALGOS
+from fpindex.operators.attempts import due_state, wait_after, without_attempts
 from fpindex.operators.drain import drained_files, drained_index, drained_state
 from fpindex.operators.rehash import Content
 from fpindex.operators.rules import Rule
 from fpindex.operators.upkeep import commit_outcome
+from fpindex.session import cut_lineage
 from fpindex.sources.versions import Change, Version, VersionedStore, _Folder
 from fpindex.streaming.drain import OUTCOME, process_batch
-from fpindex.streaming.fold import PARTS, merge_folds, quarantine_events
+from fpindex.streaming.fold import PARTS, merge_folds, quarantine_events, usable
 
 #: The note of a version that tells which batches it has.
 BATCH = "batch"
@@ -51,21 +53,38 @@ def logged(spark: SparkSession, out: str, version: Version, before: int | None =
 def tail_outcomes(spark: SparkSession, out: str, batches: Sequence[int]) -> DataFrame | None:
     """Last outcome of every file of some logged batches.
 
-    Columns as of a drain's outcome. ``packed`` are the hashes of the last
+    Columns as of a drain's outcome, ``done_at`` and ``failures``, the number of
+    failures since the last success. ``packed`` are the hashes of the last
     outcome that succeeded, null if none did: a failure leaves the packed
     column as the success before it made it.
     """
     if not batches:
         return None
-    parts = [spark.read.parquet(f"{out}/batch_id={b}").select(*OUTCOME, F.lit(b).alias("batch_id")) for b in batches]
+    names = [*OUTCOME, "done_at"]
+    parts = [spark.read.parquet(f"{out}/batch_id={b}").select(*names, F.lit(b).alias("batch_id")) for b in batches]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
     done = F.when(F.col("success"), F.col("batch_id"))
-    last = rows.groupBy("file_id").agg(
-        F.max_by(F.struct(*OUTCOME[1:]), "batch_id").alias("o"), F.max_by("hashes", done).alias("packed")
+    succeeded = rows.groupBy("file_id").agg(
+        F.max_by(F.struct(*names[1:]), "batch_id").alias("o"),
+        F.max_by("hashes", done).alias("packed"),
+        F.max(done).alias("_done"),
+        F.collect_list(F.when(~F.col("success"), F.col("batch_id"))).alias("_failed"),
     )
-    return last.select("file_id", "o.*", "packed")
+    since = F.filter("_failed", lambda b: b > F.coalesce("_done", F.lit(-1)))
+    return succeeded.select("file_id", "o.*", "packed", F.size(since).alias("failures"), F.col("_done").isNotNull().alias("recovered"))
+
+
+def waiting_after(attempts: DataFrame, tail: DataFrame) -> DataFrame:
+    """Attempts after the logged batches; a success among them starts the count anew."""
+    before = attempts.select("file_id", F.col("attempts").alias("_before"))
+    untouched = attempts.join(tail.select("file_id"), "file_id", "left_anti")
+    failed = tail.filter("failures > 0").join(before, "file_id", "left")
+    earlier = F.when(F.col("recovered"), F.lit(0)).otherwise(F.coalesce("_before", F.lit(0)))
+    counted = failed.select("file_id", (earlier + F.col("failures")).cast("int").alias("attempts"), "done_at")
+    retried = counted.select("file_id", "attempts", (F.col("done_at") + wait_after(F.col("attempts"))).alias("retry_at"))
+    return untouched.unionByName(retried)
 
 
 def packed_outcome(outcome: DataFrame) -> DataFrame:
@@ -74,9 +93,9 @@ def packed_outcome(outcome: DataFrame) -> DataFrame:
 
 
 def current(store: VersionedStore, out: str, before: int | None = None) -> dict[str, DataFrame]:
-    """``state``, ``index`` and ``files``: the last version and what was logged since."""
+    """``state``, ``index``, ``files`` and ``attempts``: the last version and what was logged since."""
     version = store.version()
-    tables = {name: store.read(name, version) for name in ("state", "index", "files")}
+    tables = {name: store.read(name, version) for name in ("state", "index", "files", "attempts")}
     tail = tail_outcomes(store.spark, out, logged(store.spark, out, version, before))
     if tail is None:
         return tables
@@ -84,6 +103,7 @@ def current(store: VersionedStore, out: str, before: int | None = None) -> dict[
         "state": drained_state(tables["state"], tail),
         "index": drained_index(tables["index"], tail),
         "files": drained_files(tables["files"], packed_outcome(tail)),
+        "attempts": waiting_after(tables["attempts"], tail),
     }
 
 
@@ -94,7 +114,10 @@ def compact(store: VersionedStore, out: str) -> Version:
     tail = tail_outcomes(store.spark, out, batches)
     if tail is None:
         return version
-    new = commit_outcome(store, tail, version, {BATCH: batches[-1]}, packed=packed_outcome(tail))
+    tail = cut_lineage(tail)
+    new = commit_outcome(
+        store, tail, version, {BATCH: batches[-1]}, packed_outcome(tail), lambda rows: waiting_after(rows, tail)
+    )
     _drop_batches(store.spark, out, version.notes.get(BATCH, -1))
     return new
 
@@ -121,10 +144,13 @@ def start_store_drain(
         spark = batch.sparkSession
         if store.version().notes.get(BATCH, -1) >= batch_id:
             return
-        tables = current(store, out, before=batch_id)
+        tables, moment = current(store, out, before=batch_id), now()
+        # files that failed lately wait, unless the batch has an event of theirs
+        waiting = without_attempts(tables["attempts"], usable(batch))
+        state = due_state(tables["state"], waiting, moment)
         outcome = process_batch(
-            batch, tables["state"], tables["index"], tables["files"], rules, content, now(), lazy, algos
-        )
+            batch, state, tables["index"], tables["files"], rules, content, moment, lazy, algos
+        ).withColumn("done_at", F.lit(moment).cast("long"))
         outcome.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         quarantine_events(batch).write.mode("overwrite").parquet(f"{out}_quarantine/batch_id={batch_id}")
         if len(logged(spark, out, store.version())) >= every:

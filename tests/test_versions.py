@@ -209,10 +209,10 @@ def test_a_failure_after_a_success_keeps_the_packed_hashes(spark, tmp_path):
     first = (1, 900, None, {"sha1": "new"}, "missing", True, None)
     second = (1, 900, "missing", {"sha1": "new"}, "missing", False, "x")
     for b, row in enumerate((first, second)):
-        outcome_of(spark, [row]).write.parquet(f"{tmp_path}/batch_id={b}")
+        outcome_of(spark, [row]).withColumn("done_at", F.lit(5000 + b)).write.parquet(f"{tmp_path}/batch_id={b}")
     tail = compacting.tail_outcomes(spark, str(tmp_path), [0, 1])
     assert [tuple(r) for r in compacting.packed_outcome(tail).collect()] == [(1, {"sha1": "new"}, True)]
-    assert tail.first().next_pending == "missing"
+    assert tail.first().next_pending == "missing" and (tail.first().failures, tail.first().done_at) == (1, 5001)
 
 
 def test_compacted_folds(spark, tmp_path, rows):
