@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from fpindex.llm.scratch import Scratch
 from fpindex.llm.texts import mixed, small_batches, word_hashes, words_at
-from fpindex.llm.workers import kept, whole_groups
+from fpindex.llm.workers import kept, trim, whole_groups
 
 #: Bytes of context; with the byte itself at most 7.
 DEPTH = 5
 #: Entries of the model, and words, that a task holds at once. Larger models
 #: are scored with in several passes, one part of the model each.
-PART_ENTRIES = 8_000_000
+PART_ENTRIES = 5_000_000
 _END, _PAD = 10, 8
 _TEXT_BYTES = 2 << 20
 #: Counts that a task gathers before it merges them.
@@ -366,6 +366,7 @@ class Part:
 def _scoring(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = kept(name, lambda: Part({**model["plain"].value, **{k: b.value for k, b in model.items()}}))
+        trim()
         first = part.part == 0
         for batch in small_batches(batches, "text", _TEXT_BYTES):
             texts = batch.column("text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Hashable, Iterator
@@ -25,6 +26,18 @@ def kept(key: Hashable, make: Callable):
     return store[key]
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, where the C library can.
+
+    Workers live on between tasks and stages, and memory they once used for
+    arrays would count as theirs until then.
+    """
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
     """Sorted batches joined into tables, none of which splits the rows of a key.
 
