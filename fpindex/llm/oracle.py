@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fpindex.llm.urls import long_suffix
+
 ORACLE: dict[str, str] = {}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -87,6 +89,7 @@ SELECT doc_id, item_id, start, n AS n_words, similarity FROM good
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
 
 _LAST = "list_reverse(string_split(host, '.'))"
+_TWO = f"(CASE WHEN len({_LAST}) > 1 THEN {_LAST}[2] || '.' || {_LAST}[1] ELSE host END)"
 
 
 def _strength(children: str, parents: str, key: str) -> str:
@@ -119,8 +122,9 @@ ruled AS (
 judged AS MATERIALIZED (SELECT p.*, rule, ruled FROM parts p LEFT JOIN ruled USING (page_id)),
 hosts AS MATERIALIZED (
   SELECT host, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(*) FILTER (ruled = 'allow') AS DOUBLE) AS good,
-         {_LAST}[1] AS suffix,
-         CASE WHEN len({_LAST}) > 1 THEN {_LAST}[2] || '.' || {_LAST}[1] ELSE host END AS domain
+         CASE WHEN regexp_matches({_TWO}, '{long_suffix()}') THEN {_TWO} ELSE {_LAST}[1] END AS suffix,
+         CASE WHEN regexp_matches({_TWO}, '{long_suffix()}') AND len({_LAST}) > 2 THEN {_LAST}[3] || '.' || {_TWO}
+              ELSE {_TWO} END AS domain
   FROM judged GROUP BY host),
 domains AS MATERIALIZED (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
 suffixes AS MATERIALIZED (SELECT suffix, 1 AS every, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL),

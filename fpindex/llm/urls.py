@@ -18,8 +18,8 @@ from fpindex.llm.scratch import Scratch
 from fpindex.operators.joins import hot_join
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Suffixes of two labels, below which domains are registered.
-LONG_SUFFIXES = ("co.uk", "com.au", "co.jp", "com.br", "co.nz")
+#: Labels that make a suffix of two labels with a country's two letters, below which domains are registered.
+REGISTRIES = ("ac", "co", "com", "edu", "gob", "gov", "mil", "ne", "net", "nom", "or", "org")
 #: Correlation within a group: bounds of the estimate, and its value without data.
 LOWEST, HIGHEST, UNKNOWN = 0.001, 0.5, 0.1
 #: A page is blocked if its host's rate lies below the threshold even at the upper bound.
@@ -66,11 +66,17 @@ def _first_rule(rules: Sequence[Rule], value: str) -> Column:
     return F.lit(None).cast("string") if chain is None else chain
 
 
+def long_suffix(registries: Sequence[str] = REGISTRIES) -> str:
+    """Regular expression of suffixes of two labels, such as ``co.uk``."""
+    return rf"^(?:{'|'.join(registries)})\.[a-z]{{2}}$"
+
+
 def _levels(host: Column) -> dict[str, Column]:
     last = F.substring_index(host, ".", -1)
     two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(*LONG_SUFFIXES), two).otherwise(last)
-    domain = F.when(two.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    long = two.rlike(long_suffix())
+    suffix = F.when(long, two).otherwise(last)
+    domain = F.when(long, F.substring_index(host, ".", -3)).otherwise(two)
     return {"domain": domain, "suffix": suffix}
 
 

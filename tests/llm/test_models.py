@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fpindex.llm import ctw, langid, topk, toxicity, urls
 
@@ -267,6 +268,26 @@ def test_urls(spark):
     assert urls.judge_urls(pages, []).filter("verdict <> 'allow'").count() == 0
 
 
+def test_urls_below_suffixes_of_two_labels_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    from fpindex.llm.oracle import ORACLE
+    from fpindex.llm.queries import URL_RULES
+
+    hosts = ["a.co.uk", "x.a.co.uk", "b.co.uk", "c.org.uk", "co.uk", "uk", "d.ac.jp", "e.com", "f.e.com", "com.e", "g.com.mx", "g.net.mx", ""]
+    rows = [(i, f"http://{hosts[i % len(hosts)]}/{['fr/', 'de/', 'x', 'es/'][i % 7 % 4]}{i}") for i in range(400)]
+    rows += [(1000 + i, f"http://h{i % 9}.com.mx/{i}") for i in range(30)] + [(2000, "http://s.example.org/es/1"), (2001, None)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    judged = urls.judge_urls(pages, URL_RULES)
+    got = sorted(tuple(r) for r in judged.select("page_id", "host", "path", "rule", "verdict").collect())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.sql(ORACLE["op9_url_filter"]).fetchall())
+    levels = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *urls._levels(F.col("host")).values()).collect()
+    assert {r[0]: r[1:] for r in levels}["x.a.co.uk"] == ("a.co.uk", "co.uk")
+
+
 # top-k
 
 
