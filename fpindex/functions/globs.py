@@ -15,6 +15,9 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: End of the text, where Java and Python differ about a final line break with ``$``.
+REGEX_END = r"(?![\s\S])"
+
 _STAR = ("star", "")
 _ONE = ("one", "")
 
@@ -115,7 +118,7 @@ def glob_to_regex(glob: str) -> str:
             parts.append(text)
         else:
             parts.append("".join(_class_char(c) if ord(c) < 128 else c for c in text))
-    return "(?s)^(?:" + "".join(parts) + r")(?![\s\S])"
+    return "(?s)^(?:" + "".join(parts) + ")" + REGEX_END
 
 
 def glob_prefix(glob: str) -> str:

@@ -4,16 +4,42 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fpindex.constants import ALGOS, PACKED_MAX_BYTES
 from fpindex.functions.digests import NATIVE_ALGOS, hex_digests
-from fpindex.functions.globs import glob_to_regex
+from fpindex.functions.globs import REGEX_END, glob_to_regex
 from fpindex.functions.terms import TERM
 
 
+def _match_all(paths: pa.Array, glob: str) -> np.ndarray:
+    """Whether each path, none of which is null, matches one glob; all at once by RE2 where it knows the pattern."""
+    pattern = glob_to_regex(glob)
+    try:
+        return np.asarray(pc.match_substring_regex(paths, pattern.removesuffix(REGEX_END) + r"\z"))
+    except pa.ArrowInvalid:
+        compiled = re.compile(pattern)
+        return np.array([compiled.search(p) is not None for p in paths.to_pylist()], bool)
+
+
+def match_globs(paths: pa.Array, globs: pa.Array) -> pa.Array:
+    """Whether each path matches its glob; null where either is null. Paths are matched together per glob."""
+    known = pc.and_(paths.is_valid(), globs.is_valid())
+    rows = np.flatnonzero(np.asarray(known))
+    coded = globs.take(pa.array(rows)).dictionary_encode()
+    order = np.argsort(np.asarray(coded.indices), kind="stable")
+    edges = np.searchsorted(np.asarray(coded.indices)[order], np.arange(len(coded.dictionary) + 1))
+    found = np.zeros(len(paths), bool)
+    for glob, a, b in zip(coded.dictionary.to_pylist(), edges, edges[1:]):
+        mine = rows[order[a:b]]
+        found[mine] = _match_all(paths.take(pa.array(mine)), glob)
+    return pa.array(found, mask=~np.asarray(known))
+
+
 def register_functions(spark: SparkSession) -> None:
     """Register the SQL functions of this library in the session.
 
@@ -23,14 +49,7 @@ def register_functions(spark: SparkSession) -> None:
 
     @F.arrow_udf("boolean")
     def glob_match(paths: pa.Array, globs: pa.Array) -> pa.Array:
-        compiled = {g: re.compile(glob_to_regex(g)) for g in globs.unique().to_pylist() if g is not None}
-        return pa.array(
-            [
-                None if p is None or g is None else compiled[g].search(p) is not None
-                for p, g in zip(paths.to_pylist(), globs.to_pylist())
-            ],
-            pa.bool_(),
-        )
+        return match_globs(paths, globs)
 
     @F.arrow_udf("string")
     def arrow_digest(content: pa.Array, algos: pa.Array) -> pa.Array:

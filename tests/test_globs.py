@@ -89,3 +89,21 @@ def test_prefix_reaches_the_scan(spark, tmp_path):
     assert "StringStartsWith(path,files/en/)" in plan
     assert df.count() == 1
     assert glob_prefix("files/en/*") == "files/en/" and glob_prefix("*x") == ""
+
+
+def test_globs_in_columns_agree_with_the_expressions():
+    import random
+
+    import pyarrow as pa
+
+    from fpindex.functions.sql import match_globs
+
+    rng = random.Random(1)
+    tokens = ["a", "/", "*", "?", "**/", "[ab]", "[!a]", "[]", "x.pdf", "\n", "é", "[[:alpha:]]", "\\*", "[z-a]", "]", "[^]]"]
+    some = ["".join(rng.choice(tokens) for _ in range(rng.randrange(5))) for _ in range(200)]
+    paths = ["".join(rng.choice(["a", "b", "/", "x.pdf", "\n", "é", "*", "]"]) for _ in range(rng.randrange(6))) for _ in range(2000)]
+    paths, asked = [*paths, None, None], [*(rng.choice([*some, None]) for _ in paths), "*", None]
+    found = match_globs(pa.array(paths, pa.string()), pa.array(asked, pa.string())).to_pylist()
+    for path, glob, hit in zip(paths, asked, found):
+        assert hit == (None if path is None or glob is None else re.search(glob_to_regex(glob), path) is not None)
+    assert len(match_globs(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
