@@ -24,6 +24,16 @@ PYTHON_ALGOS = tuple(a for a in ALGOS if a not in NATIVE_ALGOS)
 _BIT_REVERSED = bytes(int(f"{value:08b}"[::-1], 2) for value in range(256))
 
 
+def reversed_bits(data) -> bytes:
+    """The bytes with the bits of each reversed."""
+    return bytes(data).translate(_BIT_REVERSED)
+
+
+def crc32_hex(value: int) -> str:
+    """Text of a CRC-32 of reversed bytes: bits reversed again, low byte first."""
+    return int(f"{value:032b}"[::-1], 2).to_bytes(4, "little").hex()
+
+
 class _Adler32:
     def __init__(self) -> None:
         self._value = 1
@@ -46,11 +56,10 @@ class _Crc32:
         self._value = 0
 
     def update(self, data) -> None:
-        self._value = zlib.crc32(bytes(data).translate(_BIT_REVERSED), self._value)
+        self._value = zlib.crc32(reversed_bits(data), self._value)
 
     def hexdigest(self) -> str:
-        flipped = int(f"{self._value:032b}"[::-1], 2)
-        return flipped.to_bytes(4, "little").hex()
+        return crc32_hex(self._value)
 
 
 def new_digest(algo: str):
