@@ -18,6 +18,7 @@ from fpindex.operators import generate as gen
 from fpindex.operators import lookup, pending, rehash, status, upkeep, verify
 from fpindex.operators import paths as resolving
 from fpindex.operators import rules as ruling
+from fpindex.plans.api import FingerprintIndex
 from fpindex.plans.fixtures import NOW, RULES, Fixture
 from fpindex.sources import inventory, metadata, reports, store
 from fpindex.session import cut_lineage, ensure_checkpoint_dir
@@ -660,6 +661,23 @@ def rehash_(fx):
     )
 
 
+def _api(fx: Fixture) -> FingerprintIndex:
+    return FingerprintIndex(fx.files, fx.storages, fx.recorded, fx.state, fx.content, RULES)
+
+
+@query
+def recalc_user(fx):
+    """Hashes of all files as one user asks for them; files of others are not found."""
+    wanted = fx.files.select(F.col("fileid").alias("file_id"))
+    return _api(fx).recalc(wanted, ["sha1", "sha256"], user="src8")
+
+
+@query
+def verified_report(fx):
+    """Duplicate groups with paths, each member checked against its content."""
+    return _api(fx).verified_report("sha1")
+
+
 def _drain_view(outcome: DataFrame) -> DataFrame:
     return outcome.select(
         "file_id",

@@ -670,6 +670,26 @@ _BODIES: dict[str, str] = {
         SELECT fileid AS file_id, 'auto' AS mode FROM owned
         WHERE owner = 'src8' AND path GLOB '*.pdf'""",
     "rehash": _rehashed("files", ("sha1", "md5", "sha256")) + "SELECT * FROM results",
+    "recalc_user": _rehashed("files", ("sha1", "sha256"))
+    + """
+        SELECT file_id, algo, seen AND success AS success, CASE WHEN seen THEN hash ELSE '' END AS hash,
+               seen AND existed AS existed, CASE WHEN seen THEN error ELSE 'File not found.' END AS error
+        FROM (SELECT *, file_id IN (SELECT fileid FROM owned WHERE storage_id = 'home::src8') AS seen FROM results)""",
+    "verified_report": _ALL_PATHS
+    + """
+        , checked AS (
+            SELECT l.*, sha1(c.content) AS made, coalesce(sha1(c.content) = hash_value, false) AS ok
+            FROM listed l JOIN content c ON c.file_id = l.fileid)
+        SELECT algo, hash_value, CAST(0 AS BIGINT) AS part,
+               concat('{"algo":"', algo, '","hash_value":"', hash_value, '","file_count":', file_count,
+                      ',"match_count":', count(*) FILTER (WHERE ok),
+                      ',"mismatch_count":', count(*) FILTER (WHERE NOT ok),
+                      ',"files":[', string_agg(concat('{"fileid":', fileid, ',"path":"', path,
+                      '","name":"', name, '","owner":"', owner, '","verified":',
+                      CASE WHEN ok THEN 'true' ELSE 'false' END,
+                      CASE WHEN made IS NULL THEN ',"verify_error":"Content not readable."'
+                           ELSE concat(',"verified_hash":"', made, '"') END, '}'), ',' ORDER BY fileid), ']}') AS json
+        FROM checked GROUP BY algo, hash_value, file_count""",
     "drain_pending": _DRAIN + _OUTCOME,
     "drain_totals": _DRAIN
     + """
