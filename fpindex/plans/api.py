@@ -22,8 +22,9 @@ from fpindex.sources.versions import VersionedStore
 class FingerprintIndex:
     """Tables of one store and the questions to ask about them.
 
-    Nothing runs until a result is used, except the size check of a hashing plan
-    (see ``fpindex.operators.rehash``).
+    Nothing runs until a result is used, except that hashing plans, pages and
+    budgets are computed once into the checkpoint folder when they are asked for
+    (see ``fpindex.operators.rehash`` and ``fpindex.operators.ranked``).
     """
 
     files: DataFrame
