@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fpindex.llm.subwords import SLICE, mean_over_ngrams, ngrams, words_in
 from fpindex.llm.texts import BATCH_BYTES, Chunks, chunks_of, segment_ids, small_batches
+from fpindex.llm.workers import trim
 
 LOW, HIGH, BUCKETS = 1, 4, 1 << 16
 #: Count added to every n-gram of a language.
@@ -104,6 +105,8 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["lang", "feature", "n"],
             )
+        del chunks, words, owner, counts, totals
+        trim()
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
@@ -215,6 +218,7 @@ def language_column(docs: DataFrame, model: Model, text: str = "text", penalty:
                 some, share = _main_language(model, batch.column("t"), penalty)
                 names += some
                 parts.append(share)
+                trim()
         return pa.StructArray.from_arrays(
             [pa.array(names, pa.string()), pa.array(np.concatenate(parts))], names=["lang_pred", "score"]
         )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from fpindex.llm.graph import components
 from fpindex.llm.scratch import Scratch
 from fpindex.llm.texts import BATCH_BYTES, mixed, segment_ids, small_batches, word_hashes
-from fpindex.llm.workers import whole_groups
+from fpindex.llm.workers import trim, whole_groups
 
 #: 32 bands of 4 values: a pair at similarity 0.8 shares none of them once in 2 * 10^7.
 BANDS, BAND_ROWS = 32, 4
@@ -131,6 +131,8 @@ def _sketcher(words: int):
                 ],
                 names=["id", "text_key", "n_shingles", "set_key", "bands", "signature"],
             )
+            del sets, bands, short, flat
+            trim()
 
     return sketch
 
@@ -147,6 +149,8 @@ def _set_reader(words: int):
                 ],
                 names=["set_key", "members"],
             )
+            del sets, raw
+            trim()
 
     return read
 

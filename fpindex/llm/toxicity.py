@@ -9,6 +9,7 @@ scores of the n-grams they share with known ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fpindex.llm.subwords import has_word, mean_over_ngrams, ngrams, words_in
 from fpindex.llm.texts import BATCH_BYTES, chunks_of, segment_ids, segment_sums, small_batches
+from fpindex.llm.workers import trim
 
 LOW, HIGH, BUCKETS = 3, 5, 1 << 18
 #: The sample: so many rows of each label at most, of texts up to so many bytes.
@@ -146,6 +148,8 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
         total = segment_sums(each[chunks.codes] if n else np.zeros(0), chunks.bounds)
         words = segment_sums(present[chunks.codes] if n else np.zeros(0), chunks.bounds)
         out.append(1 / (1 + np.exp(-np.clip(total / np.maximum(words, 1) + model.bias, -30, 30))))
+        del chunks, present, each
+        trim()
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -154,6 +158,22 @@ def fold(id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
+def _training(prior: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(
+            [b.cast(pa.schema([("text", pa.string()), ("label", pa.int32())])) for b in batches],
+            pa.schema([("text", pa.string()), ("label", pa.int32())]),
+        )
+        texts = table.column("text").combine_chunks() if len(table) else pa.array([], pa.string())
+        model = train(texts, np.asarray(table.column("label"), np.int64), prior)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.evidence], pa.list_(pa.float64())), pa.array([model.bias], pa.float64())], names=["evidence", "bias"]
+        )
+        trim()
+
+    return run
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -167,7 +187,7 @@ def fit(
 
     The rows are those with the smallest hashes of their ids. Rows without
     label, text or partner do not count; of several labels of an id the
-    largest counts. Both bounds together limit what reaches the driver.
+    largest counts. Both bounds together limit what the task that trains holds.
     """
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(
         F.octet_length("text") <= text_bytes
@@ -185,11 +205,14 @@ def fit(
     chosen = chosen.union(known.filter("label = 0").orderBy(*order).limit(rows))
     # two times ``rows`` ids at most
     sample = texts.join(F.broadcast(chosen), "id").orderBy(*order, F.xxhash64("text")).limit(2 * rows)
-    table = sample.select("text", "label").toArrow()
-    found = table.column("text").combine_chunks() if len(table) else pa.array([], pa.string())
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    return train(found, np.asarray(table.column("label"), np.int64), prior)
+    # the sample is trained on where it lies, in one task; the model alone comes back
+    made = sample.select("text", "label").coalesce(1).mapInArrow(_training(prior), "evidence array<double>, bias double")
+    row = made.toArrow()
+    if not len(row):
+        return train(pa.array([], pa.string()), np.zeros(0, np.int64), prior)
+    return Model(np.asarray(row.column("evidence").combine_chunks().flatten()), row.column("bias")[0].as_py())
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> Column:
