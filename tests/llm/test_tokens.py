@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -139,6 +140,17 @@ def test_trie_finds_all_keys_and_no_other():
     assert [find(w) for w in (b"c", b"ac", b"abcd", b"")] == [-1] * 4
 
 
+def test_pieces_of_many_distinct_words_take_bounded_room(unigram):
+    texts = pa.array([" ".join(f"{i * 7919 % 999983:x}word{i}" for i in range(a, a + 1000)) for a in range(0, 120_000, 1000)])
+    want = [unigram.encode(texts.slice(i, 1))[0].tolist() for i in range(len(texts))]
+    tracemalloc.start()
+    ids, bounds = unigram.encode(texts)
+    room = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert room < 120e6, room
+
+
 def test_pieces_round_trip(hard_docs, no_docs):
     rows = P.piece_summary(hard_docs).collect()
     assert len(rows) == hard_docs.count() and all(r.round_trip for r in rows)
