@@ -29,6 +29,8 @@ DEPTH = 5
 PART_ENTRIES = 5_000_000
 _END, _PAD = 10, 8
 _TEXT_BYTES = 2 << 20
+#: Bytes of text and grams scored at once; scoring takes some hundred times their room.
+_SCORED = 1 << 20
 #: Counts that a task gathers before it merges them.
 _GATHERED = 1 << 20
 
@@ -271,39 +273,34 @@ def gram_logs(grams: np.ndarray, keys: np.ndarray, chance: np.ndarray) -> np.nda
 
 
 class Lookup:
-    """A hash table from 64-bit keys to numbers, as arrays."""
+    """A hash table from 64-bit keys to numbers: places in the arrays that are given, which are not copied."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, int(1.5 * len(keys)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.values = np.zeros(1 << bits, values.dtype)
-        self.full = np.zeros(1 << bits, bool)
+        self.keys, self.values = keys, values
+        self.slots = np.full(1 << bits, -1, np.int32)
         place = mixed(keys) & self.mask
-        rest = np.arange(len(keys))
+        rest = np.arange(len(keys), dtype=np.int32)
         while len(rest):
-            free = rest[~self.full[place[rest]]]
-            slot, first = np.unique(place[free], return_index=True)
-            mine = free[first]
-            self.keys[slot], self.values[slot], self.full[slot] = keys[mine], values[mine], True
-            left = np.ones(len(keys), bool)
-            left[mine] = False
-            rest = rest[left[rest]]
+            free = rest[self.slots[place[rest]] < 0]
+            self.slots[place[free]] = free
+            rest = rest[self.slots[place[rest]] != rest]
             place[rest] = (place[rest] + np.uint64(1)) & self.mask
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and which keys are there."""
+        values, hit = np.zeros(len(keys), self.values.dtype), np.zeros(len(keys), bool)
+        if not len(self.keys):
+            return values, hit
         place = mixed(keys) & self.mask
-        hit = self.full[place] & (self.keys[place] == keys)
-        values = np.where(hit, self.values[place], 0)
-        rest = np.flatnonzero(~hit & self.full[place])
+        rest = np.arange(len(keys))
         while len(rest):
+            at = self.slots[place[rest]]
+            same = (at >= 0) & (self.keys[at] == keys[rest])
+            values[rest[same]], hit[rest[same]] = self.values[at[same]], True
+            rest = rest[~same & (at >= 0)]
             place[rest] = (place[rest] + np.uint64(1)) & self.mask
-            p = place[rest]
-            same = self.full[p] & (self.keys[p] == keys[rest])
-            values[rest[same]] = self.values[p[same]]
-            hit[rest[same]] = True
-            rest = rest[~same & self.full[p]]
         return values, hit
 
 
@@ -352,6 +349,13 @@ class Part:
         return total
 
     def logs(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of the chances of grams of this part, 0 for others."""
+        out = np.zeros(len(grams))
+        for a in range(0, len(grams), _SCORED):
+            out[a : a + _SCORED] = self._logs(grams[a : a + _SCORED])
+        return out
+
+    def _logs(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grams))
         own = slice(None) if self.n_parts == 1 else np.flatnonzero(self.mine(ending(grams >> np.uint64(8))))
         values, hit = self.grams.find(grams[own])
@@ -368,7 +372,7 @@ def _scoring(model, name: str):
         part = kept(name, lambda: Part({**model["plain"].value, **{k: b.value for k, b in model.items()}}))
         trim()
         first = part.part == 0
-        for batch in small_batches(batches, "text", _TEXT_BYTES):
+        for batch in small_batches(batches, "text", _SCORED):
             texts = batch.column("text")
             data, at, edges = symbols(texts)
             scores = np.concatenate([[0.0], np.cumsum(part.logs(grams_at(data, at, part.depth + 1)))])
@@ -393,6 +397,8 @@ def _scoring(model, name: str):
                 ],
                 names=["doc_id", "text_key", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes"],
             )
+            del data, at, scores, hashes, count, known, logs
+            trim()
 
     return run
 

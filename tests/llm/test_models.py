@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -132,6 +133,25 @@ def test_unseen_bits_under_nodes_of_one_kind(spark):
     assert np.allclose(got, [rare + 6 * math.log10(0.5), rare, rare], atol=0.01)
 
 
+def test_scoring_takes_bounded_room():
+    odd = np.random.default_rng(7).permutation(np.arange(1, 400_001, dtype=np.uint64) * np.uint64(2654435761))
+    keys = np.sort(odd[:100_000])
+    state = {"depth": 3, "n_parts": 1, "part": 0, "ends": 1, "total": 9.0}
+    state |= {"add": np.full((256, 256), 0.2), "below": np.full((256, 256), 0.5), 0: {"key": keys, "value": -1.0 / (1 + keys)}}
+    empty = {"key": np.zeros(0, np.uint64), "value": np.zeros(0, np.float32)}
+    part = ctw.Part(state | {2: empty, 3: empty, "words": empty})
+    values, hit = part.grams.find(odd)
+    assert np.array_equal(hit, np.isin(odd, keys)) and np.array_equal(values[hit], -1.0 / (1 + odd[hit]))
+    assert not values[~hit].any() and not ctw.Lookup(keys[:0], keys[:0]).find(odd)[1].any()
+    grams = np.concatenate([odd] * 8)
+    tracemalloc.start()
+    logs = part.logs(grams)
+    room = tracemalloc.get_traced_memory()[1] - logs.nbytes
+    tracemalloc.stop()
+    assert np.array_equal(logs, np.concatenate([part.logs(odd)] * 8))
+    assert room < 100e6, room
+
+
 def test_hard_rows_are_scored(hard_docs, no_docs):
     rows = ctw.score_texts(hard_docs).collect()
     assert len(rows) == hard_docs.count() and all(r.score < 0 and r.bits_per_byte > 0 for r in rows)
