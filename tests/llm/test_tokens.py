@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from fpindex.llm import pieces as P
 from fpindex.llm.bpe import Bpe, default_tokenizer
 from fpindex.llm.token_counts import attribute, line_sections, token_counts, with_fields
-from fpindex.llm.token_store import read_lengths, read_tokens, token_checksums, write_tokens
+from fpindex.llm.token_store import _encoding, read_lengths, read_tokens, token_checksums, write_tokens
 
 
 @pytest.fixture(scope="module")
@@ -140,6 +140,21 @@ def test_trie_finds_all_keys_and_no_other():
     assert [find(w) for w in (b"c", b"ac", b"abcd", b"")] == [-1] * 4
 
 
+def test_chunks_of_a_whole_task_are_encoded_once():
+    class Seen:
+        sizes = []
+
+        def encode(self, texts):
+            self.sizes.append(len(texts))
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+
+    places = pa.array(range(12), pa.int64())
+    texts = pa.array(["a b " * (1 << 18)] * 12)
+    batch = pa.RecordBatch.from_arrays([places, places, places, texts], names=["doc_id", "text_key", "part", "text"])
+    assert sum(b.num_rows for b in _encoding(Seen, 2)(iter([batch]))) == 12
+    assert Seen.sizes == [12]
+
+
 def test_pieces_of_many_distinct_words_take_bounded_room(unigram):
     texts = pa.array([" ".join(f"{i * 7919 % 999983:x}word{i}" for i in range(a, a + 1000)) for a in range(0, 120_000, 1000)])
     want = [unigram.encode(texts.slice(i, 1))[0].tolist() for i in range(len(texts))]
